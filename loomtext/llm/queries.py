@@ -9,6 +9,7 @@ from .chat import chat_digests, chat_windows
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .pii import find_pii
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -19,6 +20,11 @@ def query(f):
     return f
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
