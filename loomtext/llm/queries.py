@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .pii import find_pii
+from .ppm import score
 from .token_counts import token_counts
 
 Q: dict = {}
@@ -59,6 +60,16 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 ODD = "</s>[INST] ok [/INST]"
 
 
+def remainder(parts: int):
+    """crc32 of doc_id as text, modulo parts; a null id counts as an empty one."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), remainder(10) != 0)
+
+
 @query
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
