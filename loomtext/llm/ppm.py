@@ -2,8 +2,8 @@
 
 A text is its words (ASCII letters lower-cased), one space between them, then one end. The model is the byte-context trie of
 order ORDER, pretrained on the training documents: at a context of n counts over d distinct symbols, symbol s has probability
-c(s) / (n + d) and the escape to the next shorter context d / (n + d); symbols seen in the longer context are excluded from
-n and d of the shorter one. Below order 0 the symbols never seen share the rest evenly.
+(2 c(s) - 1) / 2n and the escape to the next shorter context d / 2n (method D); symbols seen in the longer context are excluded
+from n and d of the shorter one. Below order 0 the symbols never seen share the rest evenly.
 
 The trie is never in one place. Tasks count (context, symbol) strings of ORDER + 1 symbols; these are dealt by the last two
 symbols of the context, so every node down from depth two is in the same partition as its suffixes; the nodes above are a table of
@@ -166,10 +166,10 @@ def log_probabilities(gram: np.ndarray, n_train: np.ndarray, top: np.ndarray) ->
             n, d = n - excluded[:, k, 0], d - excluded[:, k, 1]
         c = count(k, gram)
         here = open_ & (c > 0)
-        log[here] += np.log10(c[here] / (n + d)[here])
+        log[here] += np.log10((2 * c[here] - 1) / (2 * n)[here])
         open_ &= ~here
         left = open_ & (d > 0)
-        log[left] += np.log10(d[left] / (n + d)[left])
+        log[left] += np.log10(d[left] / (2 * n)[left])
     log[open_] -= np.log10(CHOICES - size[open_, 0, 1])
     return log
 
