@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, chat_windows
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .mixing import mix
 from .pii import find_pii
 from .ppm import score
@@ -30,11 +31,22 @@ def query(f):
     return f
 
 
+def remainder(parts: int):
+    """crc32 of doc_id as text, modulo parts; a null id counts as an empty one."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(4) == 2)
+    return identify(docs, ~F.col("held_out"), keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -60,11 +72,6 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 ODD = "</s>[INST] ok [/INST]"
 
 
-def remainder(parts: int):
-    """crc32 of doc_id as text, modulo parts; a null id counts as an empty one."""
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
-
-
 @query
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(10) != 0)
