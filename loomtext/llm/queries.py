@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
 from .mtree import top_k
+from .packing import pack
 from .pii import find_pii
 from .ppm import score
 from .token_counts import token_counts
@@ -53,6 +54,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
