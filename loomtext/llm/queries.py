@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
 from .mtree import top_k
+from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .ppm import score
@@ -43,6 +44,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(4) == 2)
