@@ -34,9 +34,9 @@ BITS, START, END, SYMBOLS = 9, 0, 257, 258
 #: Symbols that can be predicted: the bytes and the end.
 CHOICES = 257
 #: At most so many strings are broadcast.
-GRAMS = 4_000_000
+GRAMS = 2_000_000
 #: Positions worked on at once.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 HELD = 300_000
 
 
