@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: STAGES, and run() that applies them."""
+"""From raw documents to packed training sequences: STAGES, and run() that applies them.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one packed pieces. Stages work on all that the
+one before kept, each result is written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import durable, table
-from loomtext.llm.exact_dedup import exact_dedup
+from loomtext.llm.exact_dedup import survivors
+from loomtext.llm.language_id import UND, identify
+from loomtext.llm.mixing import mix
+from loomtext.llm.ngram_join import near_duplicates, without
+from loomtext.llm.packing import pack
+from loomtext.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-STAGES: list = []
-#: The first and the third stage have no SQL form; tests/llm holds the stages against brute force.
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows; documents without a language go, all others stay."""
+    seen = identify(docs, F.lit(True), keep=("text", "lang", "source", "n_chars"))
+    return seen.where(F.col("lang_pred") != UND).select(*COLUMNS)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id stays; of rows that repeat that too, any one."""
+    return survivors(docs).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents that share 0.8 of their five-word shingles, the one of smallest doc_id stays.
+
+    Texts are distinct here, so doc_id with the text's digest tells rows apart.
+    """
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    key = F.struct(F.col("doc_id").alias("a"), digest.alias("b"))
+    found = near_duplicates(docs.withColumn("_row", key), id_col="_row")
+    dropped = durable(found.where(F.col("_row") != F.col("component_id")).select(F.col("_row.b").alias("key")), "near-dropped")
+    return without(docs.select(*COLUMNS), dropped, digest)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, or up to three times."""
+    mixed = mix(docs, keep=("text", "lang", "source", "n_chars")).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", language_id), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("source mix", source_mix), ("packing", sequences)]
+#: The first stage has no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = durable(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,6 +34,20 @@ def combine(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     return salted.groupBy("_d", "_t").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows that stay, with all columns of docs: the same combining, which carries the row of the largest id along, so nothing is joined.
+
+    A null text stays null unless an equal (empty) text has a larger id; of rows that repeat id and text one stays.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    best = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("null"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(others)))
+    rows = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_d"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), best.alias("_best"))
+    salted = rows.groupBy("_d", F.pmod(F.xxhash64("_best.id"), F.lit(salts)).alias("_salt"), "_t").agg(F.max("_best").alias("_best"))
+    whole = salted.groupBy("_d", "_t").agg(F.max("_best").alias("_best"))
+    by = {id_col: F.col("_best.id"), text_col: F.when(~F.col("_best.null"), F.col("_t"))} | {c: F.col(f"_best.c{k}") for k, c in enumerate(others)}
+    return whole.select(*(by[c].alias(c) for c in docs.columns))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=None) -> DataFrame:
     """One row per input row: <id_col>, keep_id, group_size, kept, text_sha256.
 

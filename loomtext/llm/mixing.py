@@ -38,13 +38,13 @@ def targets(by_source: DataFrame, most: int = MOST) -> DataFrame:
     return w.withColumn("_share", level * F.col("_w")).select("_s", "source_size", F.when(F.col("_share") <= F.col("_cap"), F.col("_share")).otherwise(F.col("_cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:
-    """One row per input row: <id_col>, size, source_size, target, taken, copies (taken = copies * size)."""
-    sizes = docs.select(
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, keep: tuple = ()) -> DataFrame:
+    """One row per input row: <id_col>, size, source_size, target, taken, copies (taken = copies * size), and the columns named in keep."""
+    measured = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_s"), word_count(F.col(text_col)).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS).alias("_h"),
+        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS).alias("_h"), *(F.col(c).alias(f"_keep_{c}") for c in keep),
     )
-    sizes = durable(sizes, "mix-sizes")
+    sizes = durable(measured.select("_id", "_s", "size", "_h"), "mix-sizes")
     goal = durable(targets(sizes.groupBy("_s").agg(F.sum("size").alias("source_size")), most), "mix-targets")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("_full", full).withColumn("_left", F.col("target") - F.col("_full") * F.col("source_size"))
@@ -65,6 +65,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = durable(goal.join(ends, goal["_s"].eqNullSafe(ends["_fs"]), "left").select(F.col("_s").alias("_gs"), "source_size", "target", "_full", "_below"), "mix-thresholds")
 
     copies = F.col("_full") + F.when(F.col("_h") < F.col("_below"), 1).otherwise(0)
-    return sizes.join(goal, sizes["_s"].eqNullSafe(goal["_gs"])).select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
+    # columns to keep are read again with the text, rather than shuffled or written twice
+    rows = measured if keep else sizes
+    return rows.join(goal, rows["_s"].eqNullSafe(goal["_gs"])).select(
+        F.col("_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *(F.col(f"_keep_{c}").alias(c) for c in keep)
     )

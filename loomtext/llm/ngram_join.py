@@ -225,6 +225,36 @@ def in_blocks(groups: DataFrame, blocks, node: str) -> DataFrame:
     return groups.withColumn("_pair", F.explode(pairs)).withColumn("i", F.col("_pair.i")).withColumn("j", F.col("_pair.j")).drop("_pair")
 
 
+def bloom_of(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of BLOOM bits, whatever the number of hashes (column h): two bits for each, set by aggregation; at most BLOOM / 32 rows are collected."""
+    bits = hashes.select(F.explode(F.array("h", F.xxhash64("h"))).alias("h")).select(F.pmod("h", F.lit(BLOOM)).alias("b"))
+    words = bits.groupBy(F.floor(F.col("b") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 32))")).alias("x")).toArrow()
+    bloom = np.zeros(BLOOM // 32, np.uint32)
+    bloom[words.column("w").to_numpy()] = words.column("x").to_numpy().astype(np.uint32)
+    return bloom
+
+
+def in_bloom(bloom: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold the rows: h and xxhash64(h) of each."""
+    at = [h % BLOOM for h in hashes]
+    return np.logical_and.reduce([(bloom[a >> 5] >> (a & 31).astype(np.uint32) & np.uint32(1)) == 1 for a in at])
+
+
+def without(docs: DataFrame, dropped: DataFrame, key) -> DataFrame:
+    """The rows of docs whose key (a column) isn't in dropped (column key). Only rows that a Bloom filter of dropped may hold are shuffled."""
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(dropped.select(F.xxhash64("key").alias("h"))))
+    keyed = docs.withColumn("_key", key).select(F.xxhash64("_key").alias("_h"), F.xxhash64(F.xxhash64("_key")).alias("_h2"), "_key", *docs.columns)
+
+    def flag(batches):
+        for b in batches:
+            may = in_bloom(bloom.value, b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(may), *b.columns[2:]], names=["_may", *b.schema.names[2:]])
+
+    flagged = keyed.mapInArrow(flag, T.StructType([T.StructField("_may", T.BooleanType()), *keyed.schema.fields[2:]]))
+    rest = flagged.where("_may").join(dropped.select(F.col("key").alias("_dropped")), F.col("_key") == F.col("_dropped"), "left_anti")
+    return flagged.where("not _may").select(*docs.columns).unionByName(rest.select(*docs.columns))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: <id_col>, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
@@ -274,17 +304,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     named = candidates.withColumnRenamed("root", "comp").union(candidates.select("root", "root").distinct()).toDF("node", "comp")
     named = durable(named.join(nodes.select("node", "digest", "id", "n"), "node"), "join-candidates")
     blocks = named.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    bits = named.select(F.xxhash64("id").alias("h")).select(F.explode(F.array("h", F.xxhash64("h"))).alias("h")).select(F.pmod("h", F.lit(BLOOM)).alias("b"))
-    words_of = bits.groupBy(F.floor(F.col("b") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 32))")).alias("x")).toArrow()  # BLOOM / 32 rows at most
-    bloom = np.zeros(BLOOM // 32, np.uint32)
-    bloom[words_of.column("w").to_numpy()] = words_of.column("x").to_numpy().astype(np.uint32)
-    bloom = spark.sparkContext.broadcast(bloom)
+    bloom = spark.sparkContext.broadcast(bloom_of(named.select(F.xxhash64("id").alias("h"))))
 
     def rebuild(batches):
-        own = bloom.value
-        has = lambda h: own[h % BLOOM >> 5] >> (h % BLOOM & 31).astype(np.uint32) & 1 == 1
         for b in batches:
-            keep = has(b.column(0).to_numpy()) & has(b.column(1).to_numpy())
+            keep = in_bloom(bloom.value, b.column(0).to_numpy(), b.column(1).to_numpy())
             b = pa.RecordBatch.from_arrays([b.column(2).filter(pa.array(keep))], names=["text"])
             for _, (texts,) in chunks([b], 0):
                 sets = [s for t in texts if len(s := shingles(t, words))]
