@@ -116,7 +116,10 @@ def sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str, ro
         return []
     key = own.select("l", "h", "long", F.length("t").alias("n"))
     each = max(1, rows // languages)
-    picked = key.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("long", "h", "n"))).where(F.col("k") <= each).orderBy("k", "l").limit(rows).select("l", "h", "n").distinct()
+    # first among the rows of each salt, so that a language with most of the rows isn't ranked by one task
+    rank = lambda *by: F.row_number().over(Window.partitionBy("l", *by).orderBy("long", "h", "n"))
+    key = key.withColumn("salt", F.pmod("h", F.lit(64))).withColumn("k", rank("salt")).where(F.col("k") <= each)
+    picked = key.withColumn("k", rank()).where(F.col("k") <= each).orderBy("k", "l").limit(rows).select("l", "h", "n").distinct()
     found = own.withColumn("n", F.length("t")).join(F.broadcast(picked), ["l", "h", "n"]).select("t", "l", "h")
     return [(r[0], r[1]) for r in sorted(found.limit(2 * rows).collect(), key=lambda r: (r[1], r[2], r[0]))]
 
