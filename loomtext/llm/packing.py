@@ -23,6 +23,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|\x20?[{LETTER}]+|\x20?[{NUMBER}]
 NOT_LATIN = re.compile("[^\x00-ɏ]")
 _tokenizers: dict = {}
 #: Pre-tokens of a memo's younger half; the elder half goes when the younger one is full.
-MEMO = 250_000
+MEMO = 400_000
 
 
 class Encoder:
@@ -58,24 +59,21 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit numbers."""
-        out, parts, missing = [b""] * len(texts), {}, {}
+        out, parts = [b""] * len(texts), {}
         for k, t in enumerate(texts):
             if NOT_LATIN.search(t) or any(s in t for s in self.special):
-                out[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                out[k] = array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes()
             elif t:
-                parts[k] = words = PRE_TOKEN.findall(t)
-                for w in words:
-                    if w not in self.young:
-                        if w in self.old:
-                            self.young[w] = self.old[w]
-                        else:
-                            missing[w] = None
-        if missing:
-            new = list(missing)
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, "<u4").tobytes()
+                parts[k] = PRE_TOKEN.findall(t)
+        missing = set().union(*parts.values()).difference(self.young)
+        for w in missing.intersection(self.old):
+            self.young[w] = self.old[w]
+        new = list(missing.difference(self.young))
+        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.young[w] = array("I", e.ids).tobytes()
+        get = self.young.__getitem__
         for k, words in parts.items():
-            out[k] = b"".join(map(self.young.__getitem__, words))
+            out[k] = b"".join(map(get, words))
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
         return out
