@@ -6,8 +6,8 @@ sum of the coordinate minima of their points; an R-tree over points bounds whole
 
 1. Equal sets are one node from here on, whatever the number of copies.
 2. A node is dealt to groups by the prefix of its set: with num / den, two linked sets share a shingle among the first
-   n - ceil(num n / den) + 1 of any common order, so each linked pair meets. The order puts shingles that very many documents share last (by
-   one count for each of 2^SKETCH hash groups over all documents, so the table has a fixed size), then goes by hash.
+   n - ceil(num n / den) + 1 of any common order, so each linked pair meets. The order is that of how many shingles of all documents the
+   shingle's hash group holds (2^SKETCH groups, so the table has a fixed size): what many documents share comes last.
 3. In each group an R-tree is searched with each point; what survives the bound joins a forest of candidates, so a
    group of m near copies gives m - 1 links and not m (m - 1) / 2. Groups above GROUP nodes are split into pairs of blocks.
 4. The candidates' components hold every true link. Their sets are built once more from the whole texts (found with a Bloom filter
@@ -37,7 +37,7 @@ from .components import components
 
 #: Shingle words and similarity unless said otherwise.
 WORDS, NUM, DEN = 5, 80, 100
-GROUPS, SKETCH = 32, 20
+GROUPS, SKETCH = 64, 20
 #: Nodes of a group searched by one task; groups up to SMALL are compared as lists of members, so that equal lists are searched once.
 GROUP, SMALL = 4096, 64
 #: Shingles of a component that one task holds, and bits of the Bloom filter.
@@ -155,7 +155,7 @@ def chunks(batches, *columns, most: int = 2_000_000):
 
 
 def sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """For each of 2^SKETCH hash groups, 0 for a usual number of shingles over all documents, else the logarithm of how many times the mean it holds."""
+    """The number of distinct shingles of documents, over all documents, in each of 2^SKETCH hash groups."""
     slices, shift = 256, np.uint64(64 - SKETCH)
 
     def count(batches):
@@ -179,15 +179,13 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     total = np.zeros((slices, (1 << SKETCH) // slices), np.int64)
     for r in parts:
         total[r["k"]] = np.frombuffer(bytes(r["c"]), "<i8")
-    times = total.ravel() / max(1.0, total.mean())
-    return np.where(times >= 8, np.floor(np.log2(np.maximum(times, 1))), 0).astype(np.uint8)
+    return np.minimum(total.ravel(), 2**32 - 1).astype(np.uint32)
 
 
-def prefix(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles by which a set is dealt to groups."""
+def prefix(s: np.ndarray, load: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles by which a set is dealt to groups: those of the least filled hash groups, then by hash."""
     k = len(s) - -(-num * len(s) // den) + 1
-    h = heavy[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]
-    return s[np.argsort(h, kind="stable")[:k]] if h.any() else s[:k]
+    return s[np.argsort(load[(s >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")[:k]]
 
 
 def runs(batches, keys: int):
@@ -259,16 +257,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     """One row per input row: <id_col>, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    heavy = spark.sparkContext.broadcast(sketch(rows, words))
+    load = spark.sparkContext.broadcast(sketch(rows, words))
 
     def read(batches):
-        h = heavy.value
+        filled = load.value
         for part, (texts,) in chunks(batches, 1):
             sets = [shingles(t, words) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([point(s).astype("<i4").tobytes() for s in sets], pa.binary()), pa.array([prefix(s, h, num, den).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([point(s).astype("<i4").tobytes() for s in sets], pa.binary()), pa.array([prefix(s, filled, num, den).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ],
                 names=["id", "n", "digest", "vec", "sigs"],
             )
