@@ -1,7 +1,7 @@
 """N-gram Jaccard join over count-vector R-trees.
 
 A document's set is its distinct word shingles, as 64-bit hashes; two documents link when their Jaccard similarity is at least
-num / den. A set's point has GROUPS coordinates: how many of its shingles each hash group holds. No two sets share more than the
+num / den. A set's point has GROUPS coordinates, or more for a long set: how many of its shingles each hash group holds. No two sets share more than the
 sum of the coordinate minima of their points; an R-tree over points bounds whole pages the same way, by their coordinate maxima.
 
 1. Equal sets are one node from here on, whatever the number of copies.
@@ -91,8 +91,21 @@ def need(n, m, num: int, den: int):
     return -(-num * (n + m) // (num + den))
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def point(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def fine_point(s: np.ndarray) -> np.ndarray:
+    """A point of GROUPS coordinates, doubled until there is one for 16 shingles: between long sets, few coordinates tell little apart."""
+    groups = GROUPS
+    while 16 * groups < len(s):
+        groups *= 2
+    return point(s, groups).astype("<u4")
+
+
+def folded(v: np.ndarray, groups: int) -> np.ndarray:
+    """The same set's point in fewer hash groups."""
+    return v.reshape(-1, groups).sum(0, dtype=np.int64)
 
 
 class CountTree:
@@ -266,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([point(s).astype("<i4").tobytes() for s in sets], pa.binary()), pa.array([prefix(s, filled, num, den).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([fine_point(s).tobytes() for s in sets], pa.binary()), pa.array([prefix(s, filled, num, den).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ],
                 names=["id", "n", "digest", "vec", "sigs"],
             )
@@ -288,8 +301,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
         found = []
         for _, t in runs(batches, 3):
             node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
-            v = np.frombuffer(b"".join(t.column("vec").to_pylist()), "<i4").reshape(-1, GROUPS)
-            found += [(node[a], node[b]) for a, b in forest(n, v, num, den)]
+            fine = [np.frombuffer(x, "<u4") for x in t.column("vec").to_pylist()]
+            v = np.stack([folded(x, GROUPS) for x in fine])
+
+            def closer(q, rows, fine=fine, n=n):
+                """The same bound in as many coordinates as both points have."""
+                ok = np.ones(len(rows), bool)
+                for k, r in enumerate(rows):
+                    g = min(len(fine[q]), len(fine[r]))
+                    if g > GROUPS:
+                        ok[k] = np.minimum(folded(fine[q], g), folded(fine[r], g)).sum() >= need(n[q], n[r], num, den)
+                return ok
+
+            found += [(node[a], node[b]) for a, b in forest(n, v, num, den, closer)]
             if len(found) > 50_000:
                 yield _links(found)
                 found = []
