@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .patterns import entropy, java, matches
+from .patterns import entropy, java, let, matches
 from .text import excerpt
 
 FINDING = "struct<category:string,sentence:int,offset:int,score:double,pattern:string,excerpt:string>"
@@ -134,8 +134,12 @@ def confusables(text, punctuation: bool = True) -> Column:
 
 def report(findings: Column) -> Column:
     """struct<findings, max_score, suspicious>; suspicious above 0.70."""
-    top = F.coalesce(F.array_max(F.transform(findings, lambda f: f["score"])), F.lit(0.0))
-    return F.struct(findings.alias("findings"), top.alias("max_score"), (top > SUSPICIOUS).alias("suspicious"))
+
+    def of(f):
+        top = F.coalesce(F.array_max(F.transform(f, lambda x: x["score"])), F.lit(0.0))
+        return F.struct(f.alias("findings"), top.alias("max_score"), (top > SUSPICIOUS).alias("suspicious"))
+
+    return let(findings, of)
 
 
 def analyze(text, with_confusables: bool = True) -> Column:

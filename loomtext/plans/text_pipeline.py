@@ -18,6 +18,11 @@ SUSPICIOUS = "injection-detect: WARNING -- input flagged as suspicious"
 SEVERITY = {"pattern": "high", "encoding": "medium", "outlier": "medium", "pii": "high", "sanitized": "low"}
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """A step that the optimizer doesn't merge with the next: an Arrow UDF's result must not be copied into higher-order functions."""
+    return df.mapInArrow(lambda batches: batches, df.schema)
+
+
 def run(docs: DataFrame, text_col: str = "text", *, clean: bool = False, redact_pii: bool = False, detect_pii: bool = False, algorithm: str = "lexrank", n: int = 5) -> DataFrame:
     """The columns of docs and `result`: summary, tokens_in, tokens_out, reduction, warnings, invisibles_removed, pii_redactions, pii_findings.
 
@@ -25,6 +30,7 @@ def run(docs: DataFrame, text_col: str = "text", *, clean: bool = False, redact_
     """
     found = docs.withColumn("_invisible", F.size(sanitize.report_invisibles(text_col)) if clean else F.lit(0))
     found = found.withColumn("_text", sanitize.sanitize(text_col) if clean else F.coalesce(F.col(text_col), F.lit("")))
+    found = _apart(found) if clean else found
     report = "array<struct<pattern:string,excerpt:string,line:int>>"
     public = lambda a, line: F.transform(a, lambda f: F.struct(f["pattern"].alias("pattern"), f["excerpt"].alias("excerpt"), f[line].cast("int").alias("line")))
     if redact_pii:
@@ -34,7 +40,8 @@ def run(docs: DataFrame, text_col: str = "text", *, clean: bool = False, redact_
     else:
         found = found.withColumn("_pii", F.array().cast(report)).withColumn("_n", F.lit(0))
     warnings = F.when(detect.analyze("_text")["suspicious"], F.array(F.lit(SUSPICIOUS))).otherwise(F.array().cast("array<string>"))
-    found = found.withColumn("_warnings", warnings).withColumn("_s", summarize("_text", algorithm, n))
+    found = found.select(*docs.columns, "_text", "_invisible", "_pii", "_n", warnings.alias("_warnings"))
+    found = (_apart(found) if redact_pii or detect_pii else found).withColumn("_s", summarize("_text", algorithm, n))
     result = F.struct(
         F.col("_s.summary"), F.col("_s.tokens_in"), F.col("_s.tokens_out"), F.col("_s.reduction"), F.col("_warnings").alias("warnings"),
         F.col("_invisible").alias("invisibles_removed"), F.col("_n").alias("pii_redactions"), F.col("_pii").alias("pii_findings"),

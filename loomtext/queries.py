@@ -38,16 +38,16 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % len(PLANTED)).cast("int") + 1)
-    return docs_of(spark, sf_dir).select("doc_id", F.concat_ws("\n", "text", line).alias("text"))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Few row groups would be few tasks; a kernel wants all cores."""
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % len(PLANTED)).cast("int") + 1)
+    return spread(docs_of(spark, sf_dir)).select("doc_id", F.concat_ws("\n", "text", line).alias("text"))
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -289,7 +289,7 @@ def detect_output(spark, sf_dir):
 
 @query()
 def detect_with_outliers(spark, sf_dir):
-    r = text_pipeline.detect_all(spread(planted(spark, sf_dir)))
+    r = text_pipeline.detect_all(planted(spark, sf_dir))
     return r.select("doc_id", F.size("report.findings").alias("n_findings"), F.col("report.max_score"), F.col("report.suspicious"))
 
 
@@ -405,5 +405,5 @@ def format_json(spark, sf_dir):
 @query()
 def process_text(spark, sf_dir):
     """The whole pipeline: sanitize, redact, screen, summarize."""
-    r = text_pipeline.run(spread(planted(spark, sf_dir)), clean=True, redact_pii=True)
+    r = text_pipeline.run(planted(spark, sf_dir), clean=True, redact_pii=True)
     return r.select("doc_id", "result.summary", "result.tokens_in", "result.tokens_out", "result.reduction", F.size("result.warnings").alias("warnings"), "result.invisibles_removed", "result.pii_redactions")

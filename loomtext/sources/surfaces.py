@@ -69,8 +69,12 @@ class _Walk(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.open is not None and tag == self.open[0]:
+        if self.open is None:
+            return
+        if tag == self.open[0]:
             self.close_open()
+        else:
+            self.open[2] += f"</{tag}>"
 
     def handle_data(self, data):
         if self.open is not None:
