@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrow import vectorised
+from ..functions.patterns import let
 from ..functions.text import words
 
 
@@ -20,16 +21,22 @@ def _prf(hits: Column, n_system: Column, n_reference: Column) -> Column:
 
 
 def ngrams(w: Column, n: int) -> Column:
-    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat_ws(" ", F.slice(w, i, n)))
+    def of(x):
+        at = F.when(F.size(x) >= n, F.sequence(F.lit(1), F.size(x) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat_ws(" ", F.slice(x, i, n)))
+
+    return let(w, of)
 
 
 def rouge_n(system: Column, reference: Column, n: int) -> Column:
     """struct<precision, recall, f1> of two word arrays; an n-gram counts as often as both have it."""
-    a, b = ngrams(system, n), ngrams(reference, n)
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    hits = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
-    return _prf(hits.cast("double"), F.size(a), F.size(b))
+
+    def of(z):
+        count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+        hits = F.aggregate(F.array_intersect(z["a"], z["b"]), F.lit(0), lambda s, g: s + F.least(count(z["a"], g), count(z["b"], g)))
+        return let(hits.cast("double"), lambda h: _prf(h, F.size(z["a"]), F.size(z["b"])))
+
+    return let(F.struct(ngrams(system, n).alias("a"), ngrams(reference, n).alias("b")), of)
 
 
 @vectorised("int")
