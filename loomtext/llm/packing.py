@@ -56,6 +56,21 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.young, self.old = {}, {}
+        vocab = self.library.get_vocab()
+        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens that start with a space, written Ġ in a byte-level vocabulary
+        self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+
+    def learn(self, new: list[str]) -> None:
+        """Encode pre-tokens into the memo. Those that a space starts are encoded in one string, which parts at its spaces again, as one call for each word costs more than its merges."""
+        spaced = [w for w in new if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        ids = np.array(self.library.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.opens[ids])
+        if len(cuts) == len(spaced):
+            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.young.update(zip(spaced, [data[s:e] for s, e in zip(ends, ends[1:])], strict=True))
+            new = [w for w in new if w not in self.young]
+        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.young[w] = array("I", e.ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit numbers."""
@@ -68,9 +83,8 @@ class Encoder:
         missing = set().union(*parts.values()).difference(self.young)
         for w in missing.intersection(self.old):
             self.young[w] = self.old[w]
-        new = list(missing.difference(self.young))
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[w] = array("I", e.ids).tobytes()
+        if new := list(missing.difference(self.young)):
+            self.learn(new)
         get = self.young.__getitem__
         for k, words in parts.items():
             out[k] = b"".join(map(get, words))
