@@ -120,7 +120,8 @@ def confusable_table(punctuation: bool = True) -> dict[str, str]:
 def confusables(text, punctuation: bool = True) -> Column:
     """One finding for each look-alike character."""
     c, table = _text(text), confusable_table(punctuation)
-    known = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+    single = {a: b for a, b in sorted(table.items()) if len(b) == 1}
+    several = F.create_map(*[F.lit(x) for pair in sorted(table.items()) if len(pair[1]) > 1 for x in pair])
     points, runs = sorted(map(ord, table)), []
     for p in points:
         if runs and runs[-1][1] == p - 1:
@@ -128,8 +129,14 @@ def confusables(text, punctuation: bool = True) -> Column:
         else:
             runs.append([p, p])
     ranges = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
-    found = matches(c, f"[{ranges}]")
-    return F.transform(found, lambda m: finding("encoding", m["at"], 0.80, "confusable-homoglyph", F.concat(m["raw"], F.lit(" → "), F.element_at(known, m["raw"]))))
+    found = matches(c, rf"(?=[^\x00-\x{{24F}}])[{ranges}]")  # most characters fail at the first, cheap class
+
+    def looks_like(raw):
+        """By a hash table for single characters; a map is searched from its start."""
+        plain = F.translate(raw, "".join(single), "".join(single.values()))
+        return F.when(plain != raw, plain).otherwise(F.element_at(several, raw))
+
+    return F.transform(found, lambda m: finding("encoding", m["at"], 0.80, "confusable-homoglyph", F.concat(m["raw"], F.lit(" → "), looks_like(m["raw"]))))
 
 
 def report(findings: Column) -> Column:

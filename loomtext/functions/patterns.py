@@ -33,6 +33,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _upto(sizes: Column) -> Column:
+    """Running sums of an array<struct<at, start>>, in blocks of the square root of its size: a sum takes the blocks before it and its own block's head."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"))
+    add = lambda s, y: F.struct((s["at"] + y["at"]).alias("at"), (s["start"] + y["start"]).alias("start"))
+    total = lambda a, first, n: F.aggregate(F.slice(a, first, n), zero, add)
+
+    def of(z):
+        n, width = F.size(z["sizes"]), z["width"]
+        firsts = F.sequence(F.lit(1), n, width)
+
+        def placed(y):
+            at = lambda i: add(F.get(y["heads"], F.floor(i / width).cast("int")), total(z["sizes"], i - i % width + 1, i % width + 1))
+            return F.transform(z["sizes"], lambda x, i: at(i))
+
+        blocks = F.transform(firsts, lambda k: total(z["sizes"], k, width))
+        return let(blocks, lambda b: let(F.struct(F.transform(b, lambda x, k: total(b, F.lit(1), k)).alias("heads")), placed))
+
+    return let(F.struct(sizes.alias("sizes"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes))).cast("int")).alias("width")), of)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<at: first byte, start: first character, raw>> of the leftmost non-overlapping matches.
 
@@ -41,15 +61,12 @@ def matches(text: Column, pattern: str) -> Column:
     re = F.lit(pattern)
 
     def placed(z):
-        def before(size):
-            def at(i):
-                total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, y: s + size(y))
-                return total(z["gaps"], i + 1) + total(z["found"], i)
-
-            return at
+        def step(i):
+            size = lambda f: f(F.get(z["gaps"], i)) + F.when(i > 0, f(F.get(z["found"], i - 1))).otherwise(0)
+            return F.struct(size(F.octet_length).alias("at"), size(F.length).alias("start"))
 
-        byte, char = before(F.octet_length), before(F.length)
-        return F.transform(z["found"], lambda x, i: F.struct(byte(i).alias("at"), char(i).alias("start"), x.alias("raw")))
+        steps = F.transform(z["found"], lambda x, i: step(i))
+        return F.zip_with(z["found"], _upto(steps), lambda x, s: F.struct(s["at"].alias("at"), s["start"].alias("start"), x.alias("raw")))
 
     both = F.struct(F.regexp_extract_all(text, re, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
     return F.when(text.rlike(pattern), let(both, placed)).otherwise(F.array().cast("array<struct<at:int,start:int,raw:string>>"))

@@ -225,7 +225,7 @@ def control_density(spark, sf_dir):
 @query()
 def confusable_findings(spark, sf_dir):
     swapped = F.translate("text", "aeo", "аео")
-    return docs_of(spark, sf_dir).select("doc_id", F.explode(detect.confusables(F.substring_index(swapped, " ", 20))).alias("f")).select("doc_id", "f.offset", "f.score", "f.excerpt")
+    return docs_of(spark, sf_dir).select("doc_id", F.explode(detect.confusables(swapped)).alias("f")).select("doc_id", "f.offset", "f.score", "f.excerpt")
 
 
 @query()

@@ -3,12 +3,13 @@
 import io
 import json
 import math
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.functions import detect, output, pii, sanitize, text
+from loomtext.functions import detect, output, patterns, pii, sanitize, text
 from loomtext.operators import htmlmd, rank, rouge, similarity
 from loomtext.plans import text_pipeline
 from loomtext.sources import fetch, inputs, surfaces, usage
@@ -119,6 +120,25 @@ def test_confusables_and_report(spark):
     assert r.max_score == 0.65 and not r.suspicious
 
 
+def test_confusables_of_whole_texts(spark):
+    from loomtext import queries
+
+    table, want = detect.confusable_table(), []
+    for r in queries.docs_of(spark, "/root/testdata/sf0.001").collect():
+        at = 0
+        for ch in (r.text or "").translate(str.maketrans("aeo", "аео")):
+            want += [(r.doc_id, at, 0.8, f"{ch} → {table[ch]}")] if ch in table else []
+            at += len(ch.encode())
+    assert sorted(map(tuple, queries.confusable_findings(spark, "/root/testdata/sf0.001").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 16, 17, 99])
+def test_places_of_many_matches(spark, n):
+    t = "".join(f"{'é' * (k % 3)}{'ab'[k % 2] * (k % 5 + 1)} " for k in range(n))
+    want = [(len(t[: m.start()].encode()), m.start(), m[0]) for m in re.finditer("a+|b+", t)]
+    assert [tuple(x) for x in one(spark, t, lambda c: patterns.matches(c, "a+|b+"))] == want
+
+
 @pytest.mark.parametrize(
     ("given", "want"),
     [("card 4111 1111 1111 1111.", "card [REDACTED:credit-card]."), ("card 4111111111111112", "card 4111111111111112"), ("Bearer sk-abcdefghijklmnopqrstuv", "[REDACTED:api-key]"), ("Bearer\nTOKEN", "[REDACTED:api-key]"), ("é a@b.co é", "é [REDACTED:email] é"), ("x", "x"), ("", ""), (None, "")],
