@@ -28,13 +28,27 @@ def ngrams(w: Column, n: int) -> Column:
     return let(w, of)
 
 
+def _hits(a: Column, b: Column) -> Column:
+    """Size of the two arrays' common multiset: both are sorted as one, and a run of equals in a comes just before b's run of the same."""
+    tagged = lambda x, side: F.transform(x, lambda g: F.struct(g.alias("g"), F.lit(side).alias("side")))
+
+    def counted(z):
+        def of(starts):
+            runs = F.transform(starts, lambda s, k: F.struct(F.get(z, s)["g"].alias("g"), (F.coalesce(F.get(starts, k + 1), F.size(z)) - s).alias("c")))
+            after = lambda r, k: F.when(F.get(r, k + 1)["g"] == F.get(r, k)["g"], F.least(F.get(r, k + 1)["c"], F.get(r, k)["c"])).otherwise(0)
+            return let(runs, lambda r: F.aggregate(F.transform(r, lambda x, k: after(r, k)), F.lit(0), lambda s, c: s + c))
+
+        first = lambda i: (i == 0) | (F.get(z, i) != F.get(z, i - 1))
+        return let(F.filter(F.transform(z, lambda x, i: i), first), of)
+
+    return let(F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))), counted)
+
+
 def rouge_n(system: Column, reference: Column, n: int) -> Column:
     """struct<precision, recall, f1> of two word arrays; an n-gram counts as often as both have it."""
 
     def of(z):
-        count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-        hits = F.aggregate(F.array_intersect(z["a"], z["b"]), F.lit(0), lambda s, g: s + F.least(count(z["a"], g), count(z["b"], g)))
-        return let(hits.cast("double"), lambda h: _prf(h, F.size(z["a"]), F.size(z["b"])))
+        return let(_hits(z["a"], z["b"]).cast("double"), lambda h: _prf(h, F.size(z["a"]), F.size(z["b"])))
 
     return let(F.struct(ngrams(system, n).alias("a"), ngrams(reference, n).alias("b")), of)
 

@@ -301,12 +301,18 @@ def _sides(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.slice(s, 1, 3).alias("system"), F.slice(s, 2, 5).alias("reference"))
 
 
-def _rouge_sql(n: int) -> str:
+def _whole_sides(spark, sf_dir):
+    """The first three sentences against all of the document's."""
+    s = text.sentences("text")
+    return docs_of(spark, sf_dir).select("doc_id", F.slice(s, 1, 3).alias("system"), s.alias("reference"))
+
+
+def _rouge_sql(n: int, reference: tuple[int, int] = (1, 5)) -> str:
     words = lambda a, b: f"(SELECT doc_id, sent_idx, word_idx, word FROM w WHERE sent_idx BETWEEN {a} AND {b})"
     seq = lambda a, b: f"(SELECT doc_id, list(word ORDER BY sent_idx, word_idx) AS ws FROM {words(a, b)} GROUP BY doc_id)"
     grams = lambda t: f"(SELECT doc_id, gram, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS gram FROM {t}) GROUP BY ALL)"
     return (
-        f"WITH {_S}, {_W}, a AS {seq(0, 2)}, b AS {seq(1, 5)}, ga AS {grams('a')}, gb AS {grams('b')}, "
+        f"WITH {_S}, {_W}, a AS {seq(0, 2)}, b AS {seq(*reference)}, ga AS {grams('a')}, gb AS {grams('b')}, "
         "h AS (SELECT doc_id, sum(least(ga.c, gb.c)) AS hits FROM ga JOIN gb USING (doc_id, gram) GROUP BY doc_id), "
         f"c AS (SELECT doc_id, coalesce(hits, 0) AS h, greatest(coalesce(len(a.ws), 0) - {n - 1}, 0) AS na, greatest(coalesce(len(b.ws), 0) - {n - 1}, 0) AS nb FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN h USING (doc_id)), "
         "x AS (SELECT doc_id, CASE WHEN na > 0 AND nb > 0 THEN h / na ELSE 0 END AS p, CASE WHEN na > 0 AND nb > 0 THEN h / nb ELSE 0 END AS r FROM c) "
@@ -314,24 +320,34 @@ def _rouge_sql(n: int) -> str:
     )
 
 
-def _rouge(spark, sf_dir, n):
-    r = _sides(spark, sf_dir).select("doc_id", rouge.rouge_n(rouge.words(F.concat_ws(" ", "system")), rouge.words(F.concat_ws(" ", "reference")), n).alias("r"))
+def _rouge(sides, n):
+    r = sides.select("doc_id", rouge.rouge_n(rouge.words(F.concat_ws(" ", "system")), rouge.words(F.concat_ws(" ", "reference")), n).alias("r"))
     return r.select("doc_id", *(F.round(f"r.{c}", 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query(_rouge_sql(1))
 def rouge1(spark, sf_dir):
-    return _rouge(spark, sf_dir, 1)
+    return _rouge(_sides(spark, sf_dir), 1)
 
 
 @query(_rouge_sql(2))
 def rouge2(spark, sf_dir):
-    return _rouge(spark, sf_dir, 2)
+    return _rouge(_sides(spark, sf_dir), 2)
+
+
+@query(_rouge_sql(1, (0, 2**31 - 1)))
+def rouge1_whole(spark, sf_dir):
+    return _rouge(spread(_whole_sides(spark, sf_dir)), 1)
+
+
+@query(_rouge_sql(2, (0, 2**31 - 1)))
+def rouge2_whole(spark, sf_dir):
+    return _rouge(spread(_whole_sides(spark, sf_dir)), 2)
 
 
 @query()
 def rouge_l(spark, sf_dir):
-    r = spread(_sides(spark, sf_dir)).select("doc_id", rouge.rouge(F.col("system"), F.col("reference")).alias("r"))
+    r = spread(_whole_sides(spark, sf_dir)).select("doc_id", rouge.rouge(F.col("system"), F.col("reference")).alias("r"))
     return r.select("doc_id", "r.rougel.*")
 
 

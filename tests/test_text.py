@@ -5,6 +5,7 @@ import json
 import math
 import re
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,27 @@ def test_rouge(spark):
     assert (got.rougel.precision, got.rougel.recall, got.rouge2.precision) == (0.75, 0.6, 1 / 3)
 
 
+def test_rouge_counts_repeats(spark):
+    a, b = "x y x y x z z q".split(), "y x y x x x z w".split()
+    for n in (1, 2, 3):
+        grams = lambda w: Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))  # noqa: E731, B023
+        hits = (grams(a) & grams(b)).total()
+        r = spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(rouge.rouge_n(F.col("a"), F.col("b"), n).alias("r")).first().r
+        assert math.isclose(r.precision, hits / (9 - n)) and math.isclose(r.recall, hits / (9 - n))
+
+
+def test_rouge_of_whole_documents(spark):
+    """The first three sentences are a part of the document, so recall is their share of all its words."""
+    from loomtext import queries
+
+    d = "/root/testdata/sf0.001"
+    said = {r.doc_id: r.w for r in queries.docs_of(spark, d).select("doc_id", text.sentence_words(text.sentences("text")).alias("w")).collect()}
+    share = {i: sum(map(len, w[:3])) / n if (n := sum(map(len, w))) else 0 for i, w in said.items()}
+    for name in ("rouge_l", "rouge1_whole"):
+        assert all(math.isclose(r.recall, share[r.doc_id], abs_tol=1e-9) for r in queries.Q[name](spark, d).collect())
+    assert min(share.values()) < 0.1
+
+
 HTML = """<html><head><title>Tea</title><meta name="description" content="about tea"><meta name="viewport" content="w"></head><body><!-- note --><nav><a href="/">Home</a></nav>
 <noscript>see <b>this</b></noscript><textarea>pre <i>fill</i></textarea><input type="HIDDEN" value="v1"><input placeholder="ph"><img src="i.png" alt="cup"><div aria-label="al" title="tt" data-x="0123456789012345678901" data-y="short"></div>
 <article><h1>Green tea</h1><p>Green tea is made from leaves that have not been dried for long.</p><p>It has <b>much</b> to <a href="/t">tell</a> those who have time to listen.</p><ul><li>one</li><li>two</li></ul></article></body></html>"""
