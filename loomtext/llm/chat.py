@@ -1,10 +1,12 @@
 """Chat formatting in budgeted windows. DataFrame operations only.
 
-The turns of a conversation are dealt into spans of SPAN turn numbers; a span is one row, so a conversation of any length is
-many rows of bounded size. Inside a span, prefix sums of turn tokens (words) choose windows of whole turns: a window takes new
-turns while they fit the budget that is left after the system turn and the history. Each window starts with the conversation's
-first system turn (if it isn't among the new turns) and the last turns before the window that fit `history` tokens. These are
-repeats: only assistant turns that are new are under the loss mask, so each is learnt once.
+The turns of a conversation are dealt into spans of SPAN turns, by their place in it whatever their numbers; a span is one row, so
+a conversation of any length is many rows of bounded size. Inside a span, prefix sums of turn tokens (words) choose windows of
+whole turns: a window takes new turns while they fit the budget that is left after the system turn and the history; the end of a
+span ends a window too. Each window starts with the conversation's first system turn (if it isn't among the new turns) and the
+last turns before the window that fit `history` tokens, those of earlier spans too (of these, none more than the larger of SPAN
+and `history` turns before the span, so that turns without words don't make a history endless). These are repeats: only assistant
+turns that are new are under the loss mask, so each is learnt once.
 
 A turn is `<|turn|>role\\n` text `<|end|>\\n`. In roles and texts, every control string is replaced by U+001A and a code,
 U+001A itself first, so nothing inside a text reads as markup and unescape() gives the text back.
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import durable, word_count
 
 BUDGET, HISTORY, SPAN = 2048, 256, 64
 TURN, END = "<|turn|>", "<|end|>\n"
@@ -44,42 +46,68 @@ def unescape(text):
     return text
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds, within the conversation: _pos (from 1), _upto (tokens up to and with the turn), _count (the number of its turns) and _span.
+
+    The turns are sorted over ranges, and a conversation's places and sums are carried from range to range, so none needs one task.
+    """
+    order = [F.col("_c").asc_nulls_first(), F.col("_t").asc_nulls_first(), F.col("_role").asc(), F.col("_text").asc()]
+    dealt = durable(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "chat-turns")
+    sums = dealt.groupBy("_c", "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("_tok").alias("_sum"))
+    earlier, every = Window.partitionBy("_c").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_c")
+    sums = sums.select(
+        F.col("_c").alias("_sc"), F.col("_range").alias("_sr"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), F.sum("_n").over(every).alias("_count"),
+    )
+    line = Window.partitionBy("_c", "_range").orderBy(*order[1:])
+    local = dealt.withColumn("_pos", F.row_number().over(line)).withColumn("_upto", F.sum("_tok").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    found = local.join(sums, local["_c"].eqNullSafe(sums["_sc"]) & (local["_range"] == sums["_sr"]))
+    found = found.withColumn("_pos", F.col("_pos") + F.col("_before")).withColumn("_upto", F.col("_upto") + F.col("_base"))
+    return found.withColumn("_span", F.floor((F.col("_pos") - 1) / SPAN)).drop("_sc", "_sr", "_before", "_base", "_range")
+
+
 def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
     """One row per window: <conv_col>, span, window, n_repeated, n_new, tokens, formatted, loss (array of start, end in characters of formatted)."""
     rows = turns.select(
         F.col(conv_col).alias("_c"), F.col(turn_col).cast("long").alias("_t"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("_role"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     )
-    rows = rows.withColumn("_span", F.coalesce(F.floor(F.col("_t") / SPAN), F.lit(-(2**57)))).withColumn("_tok", word_count(F.col("_text")))
+    rows = _placed(rows.withColumn("_tok", word_count(F.col("_text"))))
     segment = F.concat(F.lit(TURN), escape(F.col("_role"), role=True), F.lit("\n"), escape(F.col("_text")), F.lit(END))
     rows = rows.withColumn("_seg", segment).withColumn("_pre", F.length(escape(F.col("_role"), role=True)) + len(TURN) + 1)
 
-    line = Window.partitionBy("_c", "_span").orderBy(F.col("_t").asc_nulls_first(), "_role", "_text")
-    rows = rows.withColumn("_pos", F.row_number().over(line)).withColumn("_upto", F.sum("_tok").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct("_pos", "_upto", "_tok", "_seg", "_pre", (F.col("_role") == "assistant").alias("_goal"), (F.col("_role") == "system").alias("_sys"))
-    spans = rows.groupBy("_c", "_span").agg(F.array_sort(F.collect_list(item)).alias("_turns"))
-    system = rows.where("_role = 'system'").groupBy("_c").agg(F.min(F.struct("_span", "_pos", "_seg", "_tok")).alias("_s"))
-    system = system.select(F.col("_c").alias("_sc"), F.struct(F.col("_s._seg").alias("seg"), F.col("_s._tok").alias("tok"), F.col("_s._pos").alias("pos"), F.col("_s._span").alias("span")).alias("_system"))
+    system = rows.where("_role = 'system'").groupBy("_c").agg(F.min(F.struct("_pos", "_seg", "_tok")).alias("_s"))
+    # a turn goes to its own span, and to later ones of the conversation whose history it may be in
+    reach = max(history, SPAN)
+    rest = F.max("_upto").over(Window.partitionBy("_c", "_span")) - F.col("_upto") + F.col("_tok")
+    rows = rows.withColumn("_may", rest <= history)
+    last = F.least(F.floor((F.col("_pos") - 1 + reach) / SPAN), F.floor((F.col("_count") - 1) / SPAN))
+    rows = rows.withColumn("_own", F.col("_span")).withColumn("_span", F.explode(F.when(F.col("_may"), F.sequence("_span", F.greatest(F.col("_span"), last))).otherwise(F.array("_span"))))
+    item = F.struct("_pos", "_upto", "_tok", "_seg", "_pre", (F.col("_role") == "assistant").alias("_goal"), (F.col("_role") == "system").alias("_sys"), (F.col("_own") < F.col("_span")).alias("_old"))
+    spans = rows.groupBy("_c", "_span").agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    spans = spans.withColumn("_turns", F.filter("_all", lambda t: ~t["_old"])).withColumn("_tail", F.filter("_all", lambda t: t["_old"])).drop("_all")
+    system = system.select(F.col("_c").alias("_sc"), F.struct(F.col("_s._seg").alias("seg"), F.col("_s._tok").alias("tok"), F.col("_s._pos").alias("pos")).alias("_system"))
     spans = spans.join(system, spans["_c"].eqNullSafe(system["_sc"]), "left").drop("_sc")
 
     # the position at which each window starts: a fold over prefix sums
     room = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("_system.tok", F.lit(0)))
     first = F.aggregate(
         "_turns",
-        F.struct(F.lit(0).cast("long").alias("base"), F.array().cast("array<int>").alias("at")),
+        F.struct(F.lit(0).cast("long").alias("base"), F.array().cast("array<bigint>").alias("at")),
         lambda s, t: F.when(
             (F.size(s["at"]) == 0) | (t["_upto"] - s["base"] > room),
             F.struct((t["_upto"] - t["_tok"]).alias("base"), F.concat(s["at"], F.array(t["_pos"])).alias("at")),
         ).otherwise(s),
         lambda s: s["at"],
     )
-    spans = spans.withColumn("_at", first)
-    windows = spans.select("_c", "_span", "_turns", "_system", "_at", F.posexplode("_at").alias("window", "_start"))
+    spans = spans.withColumn("_at", F.transform(first, lambda p: (p - F.get("_turns", F.lit(0))["_pos"] + 1).cast("int")))
+    windows = spans.select("_c", "_span", "_turns", "_tail", "_system", "_at", F.posexplode("_at").alias("window", "_start"))
     stop = F.coalesce(F.get("_at", F.col("window") + 1), F.size("_turns") + 1)
     windows = windows.withColumn("_stop", stop).withColumn("_base", F.element_at("_turns", F.col("_start"))["_upto"] - F.element_at("_turns", F.col("_start"))["_tok"])
     new = F.slice("_turns", F.col("_start"), F.col("_stop") - F.col("_start"))
-    is_system = lambda t: F.coalesce((F.col("_system.span") == F.col("_span")) & (F.col("_system.pos") == t["_pos"]), F.lit(False))
-    back = F.filter("_turns", lambda t: (t["_pos"] < F.col("_start")) & (F.col("_base") - t["_upto"] + t["_tok"] <= history) & ~is_system(t))
+    is_system = lambda t: F.coalesce(F.col("_system.pos") == t["_pos"], F.lit(False))
+    earlier = F.concat("_tail", F.slice("_turns", F.lit(1), F.col("_start") - 1))
+    back = F.filter(earlier, lambda t: (F.col("_base") - t["_upto"] + t["_tok"] <= history) & ~is_system(t))
     part = lambda seg, pre, tok, goal: F.struct(seg.alias("seg"), pre.alias("pre"), tok.alias("tok"), goal.alias("goal"))
     lead = F.when(F.col("_system").isNotNull() & ~F.exists(new, is_system), F.array(part(F.col("_system.seg"), F.lit(0), F.col("_system.tok"), F.lit(False))))
     windows = windows.withColumn("_lead", F.concat(F.coalesce(lead, F.array().cast("array<struct<seg:string,pre:int,tok:bigint,goal:boolean>>")), F.transform(back, lambda t: part(t["_seg"], t["_pre"], t["_tok"], F.lit(False)))))

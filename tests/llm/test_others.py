@@ -79,6 +79,24 @@ def test_chat_round_trip(spark, limits, make):
             assert w.tokens <= limits["budget"]
 
 
+@pytest.mark.parametrize("step", [1, 1000])
+@pytest.mark.parametrize("words", [4, 1, 0])
+def test_chat_history_crosses_spans(spark, step, words):
+    """Each window repeats the last turns before it that fit, whatever their numbers and however many spans they lie back."""
+    said = [(("user", "assistant")[t % 2], f"w{t} " + "x " * (words - 1 + t % 2) if words else "") for t in range(300)]
+    found = chat.chat_windows(spark.createDataFrame([(7, step * t, *x) for t, x in enumerate(said)], "conv_id long, turn long, role string, text string").repartition(6), 400, 200)
+    at, rows = 0, found.orderBy("span", "window").collect()
+    size = [len(t.split()) for _, t in said]
+    for w in rows:
+        first, start = at, at // chat.SPAN * chat.SPAN
+        while first and sum(size[first - 1 : at]) <= 200 and first > start - 200:
+            first -= 1
+        assert w.n_repeated == at - first
+        assert w.formatted == "".join(f"<|turn|>{r}\n{t}<|end|>\n" for r, t in said[first : at + w.n_new])
+        at += w.n_new
+    assert at == 300 and len(rows) >= 5
+
+
 def test_chat_empty(spark):
     assert chat.chat_digests(chat.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
