@@ -13,6 +13,7 @@ sum of the coordinate minima of their points; an R-tree over points bounds whole
 4. The candidates' components hold every true link. Their sets are built once more from the whole texts (found with a Bloom filter
    of fixed size, then joined exactly), searched by an R-tree again, and every surviving pair that could still join two
    components is verified by counting common shingles. Components above BLOCK shingles are split into pairs of blocks.
+   If the number of links is asked for, the same tasks verify all pairs of each component instead, each pair in one task.
 5. Connected components of the verified links, without collecting any of them.
 
 Blocks keep a task bounded for a group of any size, but the number of block pairs is the square of the number of blocks.
@@ -156,6 +157,36 @@ def forest(n: np.ndarray, v: np.ndarray, num: int, den: int, verify=None) -> lis
     return out
 
 
+def all_links(s: list, num: int, den: int, most: int = 2_000_000):
+    """(first, mask) for runs of sets: mask[k] says which sets link with set first + k, itself among them.
+
+    Common shingles of all pairs: those of many sets by a matrix product, all others by the lists of sets that hold them.
+    """
+    m, n = len(s), np.array([len(x) for x in s], np.int64)
+    _, column, held = np.unique(np.concatenate(s), return_inverse=True, return_counts=True)
+    owner, frequent = np.repeat(np.arange(m), n), held > max(16, m // 4)
+    number = np.cumsum(frequent) - 1
+    dense = np.zeros((m, int(frequent.sum())), np.float32)
+    at = frequent[column]
+    dense[owner[at], number[column[at]]] = 1
+    lists, start = owner[np.argsort(column, kind="stable")], np.cumsum(held) - held
+    size, row = np.where(at, 0, held[column]), np.cumsum(n) - n
+    cost = np.cumsum(m + np.add.reduceat(size, row))
+    first = 0
+    while first < m:
+        end = max(first + 1, int(np.searchsorted(cost, (cost[first - 1] if first else 0) + most, "right")))
+        common = (dense[first:end] @ dense.T).astype(np.int64)
+        span = np.arange(row[first], row[end - 1] + n[end - 1])
+        span = span[size[span] > 0]
+        for part in np.split(span, np.searchsorted(np.cumsum(size[span]), np.arange(most, int(size[span].sum()), most))):
+            k = size[part]
+            place = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start[column[part]], k)
+            flat = np.repeat(owner[part] - first, k) * m + lists[place]
+            common += np.bincount(flat, minlength=(end - first) * m).reshape(end - first, m)
+        yield first, den * common >= num * (n[first:end, None] + n[None, :] - common)
+        first = end
+
+
 def chunks(batches, *columns, most: int = 2_000_000):
     """Lists of the columns' values, cut so that the last column's texts have about `most` characters together."""
     for b in batches:
@@ -266,8 +297,11 @@ def without(docs: DataFrame, dropped: DataFrame, key) -> DataFrame:
     return flagged.where("not _may").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: <id_col>, n_shingles, component_id (the smallest id that links reach)."""
+def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """One row per input row: <id_col>, n_shingles, component_id (the smallest id that links reach).
+
+    links: also n_links, the number of other rows that the row links with, its copies and theirs counted; this verifies every pair of a component.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     load = spark.sparkContext.broadcast(sketch(rows, words))
@@ -286,7 +320,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
 
     schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("n long, digest binary, vec binary, sigs array<long>").fields])
     members = durable(rows.mapInArrow(read, schema), "join-members")
-    nodes = members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("sigs").alias("sigs"))
+    nodes = members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("sigs").alias("sigs"), *([F.count(F.lit(1)).alias("copies")] if links else []))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
     # groups of nodes that share a shingle of their prefixes
@@ -324,7 +358,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
 
     # the candidates' sets, from their whole texts
     named = candidates.withColumnRenamed("root", "comp").union(candidates.select("root", "root").distinct()).toDF("node", "comp")
-    named = durable(named.join(nodes.select("node", "digest", "id", "n"), "node"), "join-candidates")
+    named = durable(named.join(nodes.select("node", "digest", "id", "n", *(["copies"] if links else [])), "node"), "join-candidates")
     blocks = named.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     bloom = spark.sparkContext.broadcast(bloom_of(named.select(F.xxhash64("id").alias("h"))))
 
@@ -337,8 +371,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "set"])
 
     sets = rows.select(F.xxhash64("id").alias("h"), F.xxhash64(F.xxhash64("id")).alias("h2"), "text").mapInArrow(rebuild, "digest binary, set binary")
-    sets = named.join(blocks, "comp").join(sets.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select("comp", "blocks", "node", "set")
-    sets = in_blocks(sets, F.col("blocks"), "node").select("comp", "i", "j", "node", "set")
+    sets = named.join(blocks, "comp").join(sets.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select("comp", "blocks", "node", "set", *(["copies"] if links else []))
+    own = [F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("own"), F.col("copies")] if links else []
+    sets = in_blocks(sets, F.col("blocks"), "node").select("comp", "i", "j", "node", "set", *own)
 
     def exact(batches):
         for _, t in runs(batches, 3):
@@ -356,9 +391,42 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
             if links := forest(n, v, num, den, verify):
                 yield _links([(node[a], node[b]) for a, b in links])
 
-    linked = components(sets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(exact, LINK))
+    def counted(batches):
+        """Rows (u, v, 0), links that join all that link, and (node, null, weight of the sets that it links with)."""
+        for (_, i, j), t in runs(batches, 3):
+            node, first = np.unique(t.column("node").to_numpy(), return_index=True)
+            t = t.take(pa.array(first))
+            s = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+            own, copies = t.column("own").to_numpy(), t.column("copies").to_numpy()
+            inside = (i == j) | ((i == 0) & ((own == j) | (j == 1)))  # whether pairs within a block are this task's
+            label, total, found = np.arange(len(s)), np.zeros(len(s), np.int64), []
+            for start, mask in all_links(s, num, den):
+                mask &= (own[start : start + len(mask), None] != own[None, :]) | inside[None, :]
+                mask[np.arange(len(mask)), start + np.arange(len(mask))] = False
+                total[start : start + len(mask)] = mask @ copies
+                for q, with_q in enumerate(mask, start):
+                    others, at = np.unique(label[r := np.flatnonzero(with_q)], return_index=True)
+                    new = others != label[q]
+                    if new.any():
+                        found += [(q, x) for x in r[at[new]].tolist()]
+                        label[np.isin(label, others)] = label[q]
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([node[u], node[some]])), pa.array([*node[v].tolist(), *[None] * len(some)], pa.int64()), pa.array(np.concatenate([np.zeros(len(u), np.int64), total[some]]))],
+                names=["u", "v", "w"],
+            )
+
+    dealt = sets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    pairs = durable(dealt.mapInArrow(counted, f"{LINK}, w long"), "join-links") if links else None
+    linked = components(pairs.where("v is not null").select("u", "v") if links else dealt.mapInArrow(exact, LINK))
     root = nodes.select("node", "id", "digest").join(linked, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     root = durable(root, "join-roots")
     least = root.groupBy("root").agg(F.min("id").alias("component_id"))
     names = root.join(least, "root").select("digest", "component_id")
-    return members.select("id", "n", "digest").join(names, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    more = []
+    if links:
+        number = pairs.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("w"))
+        number = nodes.select("node", "digest", "copies").join(number, "node", "left").select("digest", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        names, more = names.join(number, "digest"), [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    return members.select("id", "n", "digest").join(names, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *more)

@@ -49,6 +49,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+@query
+def ngram_join_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 with the number of links of each document."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100, links=True)
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(4) == 2)

@@ -97,6 +97,22 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert found == dict.fromkeys(range(30), 0) | {99: 99}
 
 
+@pytest.mark.parametrize("make", [*TABLES, "family"])
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 200])
+def test_ngram_join_links(spark, monkeypatch, make, block):
+    """Every link counts, those between two members that a third has joined already too; in blocks, each once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    base = [f"w{k}" for k in range(60)]
+    family = [(i, " ".join([*base[: i % 17], "x", *base[i % 17 + 1 :]])) for i in range(40)] + [(99, "nothing like it at all here")]
+    docs = spark.createDataFrame(family, "doc_id long, text string") if make == "family" else make(spark)
+    rows = docs.collect()
+    own = [sets(r.text, 5) for r in rows]
+    links = [sum(a != b and 100 * len(x & y) >= 80 * len(x | y) for b, y in enumerate(own) if y) if x else 0 for a, x in enumerate(own)]
+    found = ngram_join.near_duplicates(docs, links=True)
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in found.collect()) == Counter((r.doc_id, len(x), n) for r, x, n in zip(rows, own, links, strict=True))
+    assert Counter(map(tuple, found.drop("n_links").collect())) == Counter(map(tuple, ngram_join.near_duplicates(docs).collect()))
+
+
 def test_count_tree_bounds():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 6, (700, ngram_join.GROUPS)).astype(np.int32)
