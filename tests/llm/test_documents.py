@@ -192,13 +192,50 @@ def test_packing(spark, make):
     assert len(by) <= math.ceil(sum(r.length for r in found) / capacity) * 1.02 + 1
 
 
+def triplets(seed, n=200):
+    """Lengths of which three each fill a bin of 1000, so 3 n pieces fit in n bins, which best fit doesn't find."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(380, 490, n)
+    b = rng.integers(250, 1000 - a - 250 + 1)
+    return rng.permutation(np.concatenate([a, b, 1000 - a - b]))
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(2)
-    x = rng.integers(1, 600, 400)
-    a, b = packing.best_fit(x, 1000), packing.evolve(x, 1000, 1)
-    for owner in (a, b, packing.crossover(a, b, x, 1000, rng), packing.evolve(x, 1000, 3, a, [[int(x[0]), int(x[1])], [999, 1]])):
+    x = triplets(1)
+    a, (b, made) = packing.best_fit(x, 1000), packing.evolve(x, 1000, 1)
+    for owner in (a, b, packing.crossover(a, b, x, 1000, rng), packing.varied(a, x, 1000, rng), packing.evolve(x, 1000, 3, a, [[int(x[0]), int(x[1])], [999, 1]])[0]):
         assert (owner >= 0).all() and np.bincount(owner, weights=x).max() <= 1000 and (np.bincount(owner) > 0).all()
-    assert b.max() <= a.max()
+    assert made == packing.GENERATIONS
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_genetic_algorithm_beats_best_fit(seed):
+    x = triplets(seed)
+    owner, made = packing.evolve(x, 1000, seed)
+    assert packing.least_bins(x, 1000) <= owner.max() + 1 < packing.best_fit(x, 1000).max() + 1 and made > 0
+    assert packing.evolve(np.full(100, 250), 1000, seed)[1] == 0  # best fit is at the bound: nothing to do
+
+
+def test_islands_migrate(spark, monkeypatch):
+    """All pieces stay, elite bins arrive, and no epoch makes it worse."""
+    monkeypatch.setattr(packing, "ISLAND", 150)
+    pieces = spark.createDataFrame([(k, int(n)) for k, n in enumerate(triplets(7))], "uid long, length int")
+    bins = lambda rows: len({(r.island, r.bin) for r in rows})
+    found = packing.islands(pieces, 1000, 1).collect()
+    monkeypatch.setattr(packing, "EPOCHS", 1)
+    first = packing.islands(pieces, 1000, 1).collect()
+    assert sorted(r.uid for r in found) == list(range(600)) and bins(found) <= bins(first) and len({r.island for r in found}) > 1
+    groups = packing.rebuilt([[300, 200], [300, 999], [200, 100]], np.array([100, 200, 200, 300]))
+    assert groups.tolist() == [2, 2, 0, 0]
+
+
+def test_ids_fuzz():
+    e, rng = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), np.random.default_rng(6)
+    kinds = [list(" \n\t\r'stremlvd' a1é.\xa0\x85\x1c<|"), [chr(c) for c in range(0x250)], list("aé 日\u2003\u3000ﬁ\U0001f600'sǆ٣")]
+    texts = ["".join(rng.choice(kinds[k % 3], rng.integers(0, 40))) for k in range(6000)]
+    assert e.whole and [e.ids(t) for t in texts] == [np.array(x.ids, "<u4").tobytes() for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    assert packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).whole is None
 
 
 @pytest.mark.parametrize("make", TABLES)
