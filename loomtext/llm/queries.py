@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import chat_digests, chat_windows
+from .chat import BUDGET, CONTROL, HISTORY, SPAN, chat_digests, chat_windows
 from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import identify
@@ -116,3 +116,34 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD).alias("text"))
     return chat_digests(chat_windows(turns.unionByName(odd)))
+
+
+def _replaced(column: str, strings: list[str]) -> str:
+    for k, c in enumerate(strings):
+        column = f"replace({column}, {' || '.join(f'chr({ord(x)})' for x in c)}, chr(26) || '{k}')"
+    return column
+
+
+SQL["op10_chat_formatting"] = f"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{ODD}' UNION ALL SELECT -1, 1, 'assistant', '{ODD}'),
+p AS (SELECT *, row_number() OVER g AS pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1 AS tok FROM said
+      WINDOW g AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+t AS (SELECT *, CAST(sum(tok) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS upto,
+             17 + length({_replaced("role", CONTROL)}) + length({_replaced("text", CONTROL[:-1])}) AS size FROM p),
+s AS (SELECT conv_id, min(pos) AS pos FROM t WHERE role = 'system' GROUP BY conv_id),
+h AS (SELECT t.conv_id, t.pos, t.tok, t.size FROM t JOIN s USING (conv_id, pos) WHERE 2 * t.tok <= {BUDGET}),
+r AS (SELECT conv_id, greatest(1, {BUDGET - HISTORY} - coalesce(any_value(h.tok), 0)) AS room, max(t.pos) AS n FROM t LEFT JOIN h USING (conv_id) GROUP BY conv_id),
+j AS (SELECT a.conv_id, a.pos, coalesce(min(b.pos), any_value(r.n) + 1) AS stop FROM t a JOIN r USING (conv_id) LEFT JOIN t b ON a.conv_id = b.conv_id AND b.pos > a.pos
+        AND (b.upto - a.upto + a.tok > r.room OR (b.upto - b.tok) // {SPAN} <> (a.upto - a.tok) // {SPAN}) GROUP BY a.conv_id, a.pos),
+w AS (SELECT conv_id, pos, stop FROM j WHERE pos = 1 UNION ALL SELECT j.conv_id, j.pos, j.stop FROM w JOIN j ON w.conv_id = j.conv_id AND j.pos = w.stop),
+n AS (SELECT w.conv_id, w.pos, w.stop, min(t.upto - t.tok) AS base, {BUDGET} - sum(t.tok) AS room, sum(t.size) AS size FROM w JOIN t ON w.conv_id = t.conv_id AND t.pos >= w.pos AND t.pos < w.stop GROUP BY ALL),
+l AS (SELECT n.*, h.pos AS held, h.tok AS held_tok, h.size AS held_size FROM n LEFT JOIN h ON n.conv_id = h.conv_id AND NOT (h.pos >= n.pos AND h.pos < n.stop) AND h.tok <= n.room),
+b AS (SELECT l.conv_id, l.pos, sum(t.size) AS size FROM l JOIN t ON l.conv_id = t.conv_id AND t.pos < l.pos AND t.pos IS DISTINCT FROM l.held
+        AND l.base - t.upto + t.tok <= least({HISTORY}, l.room - coalesce(l.held_tok, 0)) GROUP BY l.conv_id, l.pos),
+f AS (SELECT l.conv_id, CAST(sum(l.size + coalesce(l.held_size, 0) + coalesce(b.size, 0)) AS BIGINT) AS formatted_chars FROM l LEFT JOIN b USING (conv_id, pos) GROUP BY l.conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+             coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS lost FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(lost) AS BIGINT) AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars FROM d JOIN f USING (conv_id)
+"""

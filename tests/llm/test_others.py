@@ -75,26 +75,55 @@ def test_chat_round_trip(spark, limits, make):
         assert (found[conv].n_turns, found[conv].turns_sha256, found[conv].loss_chars, found[conv].loss_sha256) == (len(said), sha("".join(f"{r}\n{t}\n" for _, r, t in said)), len(lost), sha(lost))
     for w in windows.collect():
         assert w.formatted.count("<|turn|>") == w.formatted.count("<|end|>") == w.n_new + w.n_repeated
-        if limits and w.n_new > 1:
-            assert w.tokens <= limits["budget"]
-
-
-@pytest.mark.parametrize("step", [1, 1000])
-@pytest.mark.parametrize("words", [4, 1, 0])
-def test_chat_history_crosses_spans(spark, step, words):
-    """Each window repeats the last turns before it that fit, whatever their numbers and however many spans they lie back."""
-    said = [(("user", "assistant")[t % 2], f"w{t} " + "x " * (words - 1 + t % 2) if words else "") for t in range(300)]
-    found = chat.chat_windows(spark.createDataFrame([(7, step * t, *x) for t, x in enumerate(said)], "conv_id long, turn long, role string, text string").repartition(6), 400, 200)
-    at, rows = 0, found.orderBy("span", "window").collect()
-    size = [len(t.split()) for _, t in said]
-    for w in rows:
-        first, start = at, at // chat.SPAN * chat.SPAN
-        while first and sum(size[first - 1 : at]) <= 200 and first > start - 200:
-            first -= 1
-        assert w.n_repeated == at - first
-        assert w.formatted == "".join(f"<|turn|>{r}\n{t}<|end|>\n" for r, t in said[first : at + w.n_new])
-        at += w.n_new
-    assert at == 300 and len(rows) >= 5
+        assert w.tokens <= limits.get("budget", chat.BUDGET) or (w.n_new == 1 and w.n_repeated == 0)
+
+
+def brute_windows(said, budget, history, span):
+    """(n_repeated, n_new, tokens, formatted) of each window of a conversation [(role, text)], by the rules as stated."""
+    tok = [len(t.split()) + 1 for _, t in said]
+    start = [sum(tok[:k]) for k in range(len(said))]
+    first = next((k for k, (r, _) in enumerate(said) if r == "system"), None)
+    held = first if first is not None and 2 * tok[first] <= budget else None
+    room, out, at = max(1, budget - history - (tok[held] if held is not None else 0)), [], 0
+    while at < len(said):
+        end = at + 1
+        while end < len(said) and start[end] // span == start[at] // span and start[end] + tok[end] - start[at] <= room:
+            end += 1
+        left = budget - sum(tok[at:end])
+        lead = [held] if held is not None and not at <= held < end and tok[held] <= left else []
+        back, most = at, min(history, left - sum(tok[k] for k in lead))
+        while back and start[at] - start[back - 1] <= most:
+            back -= 1
+        repeated = lead + [k for k in range(back, at) if k not in lead]
+        shown = repeated + list(range(at, end))
+        out.append((len(repeated), end - at, sum(tok[k] for k in shown), "".join(f"<|turn|>{said[k][0]}\n{said[k][1]}<|end|>\n" for k in shown)))
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("number", [lambda t: t, lambda t: 1000 * t, lambda t: None if t < 250 else t, lambda t: 5], ids=["steps", "gaps", "nulls", "equal"])
+@pytest.mark.parametrize(("count", "words", "system", "budget", "history"), [(300, 4, 9, 400, 200), (300, 0, 0, 400, 200), (300, 9, 150, 256, 64), (120, 3, 0, 4000, 256), (60, 700, 30, 2048, 256), (10_000, 6, 20, 2048, 256)])
+def test_chat_windows(spark, monkeypatch, number, count, words, system, budget, history):
+    """Windows, history and the budget against brute force: long and short turns, any numbering, spans that end within the conversation."""
+    monkeypatch.setattr(chat, "SPAN", 5000)
+    rng = np.random.default_rng(count + words)
+    said = [(number(t), ("user", "assistant")[t % 2], " ".join([f"w{t:05d}", *["x"] * int(rng.integers(0, 2 * words + 1))])) for t in range(count)]
+    if system:
+        said.append((number(7), "system", "s " * system))
+    if words > 100:
+        said.append((number(20), "user", "y " * 3000))
+    table = spark.createDataFrame([(7, *x) for x in said], "conv_id long, turn long, role string, text string").repartition(6)
+    found = [(w.n_repeated, w.n_new, w.tokens, w.formatted) for w in chat.chat_windows(table, budget, history).orderBy("span", "window").collect()]
+    order = sorted(said, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    want = brute_windows([x[1:] for x in order], budget, history, 5000)
+    assert found == want and all(t <= budget or (n == 1 and not r) for r, n, t, _ in found)
+
+
+def test_chat_against_sql(spark):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS FROM '{SMALL}/conversations.parquet'")
+    found = queries.op10_chat_formatting(spark, SMALL)
+    assert sorted(map(tuple, found.collect())) == sorted(c.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL['op10_chat_formatting']})").fetchall())
 
 
 def test_chat_empty(spark):
