@@ -18,12 +18,19 @@ from loomtext.llm.packing import pack
 from loomtext.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Score at which a language's decision value is zero: below it, every one-versus-rest classifier says no.
+FLOOR = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows; documents without a language go, all others stay."""
+    """Learns from the labelled rows. A document goes that has no letter, or in which the classifier finds no language (a score below FLOOR) and
+    whose label isn't the best guess either. A null label becomes the predicted language. Without labelled rows all documents with a letter stay.
+    """
     seen = identify(docs, F.lit(True), keep=("text", "lang", "source", "n_chars"))
-    return seen.where(F.col("lang_pred") != UND).select(*COLUMNS)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    guess = F.when(F.col("lang_pred") != UND, F.col("lang_pred"))
+    stays = letters & (guess.isNull() | (F.col("score") >= FLOOR) | F.col("lang").eqNullSafe(guess))
+    return seen.where(stays).withColumn("lang", F.coalesce("lang", guess)).select(*COLUMNS)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +39,21 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents that share 0.8 of their five-word shingles, the one of smallest doc_id stays.
-
-    Texts are distinct here, so doc_id with the text's digest tells rows apart.
+    """Of each component of documents that share 0.8 of their five-word shingles, the one of smallest doc_id stays (a null one is the smallest; of
+    equal ids, the text of smallest digest; of rows that repeat both, any one).
     """
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    key = F.struct(F.col("doc_id").alias("a"), digest.alias("b"))
-    found = near_duplicates(docs.withColumn("_row", key), id_col="_row")
-    dropped = durable(found.where(F.col("_row") != F.col("component_id")).select(F.col("_row.b").alias("key")), "near-dropped")
-    return without(docs.select(*COLUMNS), dropped, digest)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.struct(F.col("doc_id").alias("a"), F.sha2(text, 256).alias("b"))
+    found = durable(near_duplicates(docs.select("text", key.alias("_row")), id_col="_row"), "near-found")
+    name = lambda row: F.concat_ws(":", F.coalesce(row["a"].cast("string"), F.lit("")), row["b"])
+    dropped = found.where(F.col("_row") != F.col("component_id")).select(name(F.col("_row")).alias("key"))
+    repeated = found.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c")).where("n > 1")
+    repeated = durable(repeated.select(name(F.col("_row")).alias("key"), (F.col("_row") == F.col("c")).alias("stays")), "near-repeated")
+    rows = docs.select(*COLUMNS)
+    if repeated.isEmpty():
+        return without(rows, durable(dropped, "near-dropped"), name(key))
+    once = rows.withColumn("_key", name(key)).join(repeated.where("stays").select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    return without(rows, durable(dropped.union(repeated.select("key")), "near-dropped"), name(key)).unionByName(once.select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
