@@ -2,32 +2,38 @@
 
 The kernel of two texts is the number of character n-grams (one to three characters, lower case) that both have, divided by the
 root of the product of their own numbers: a blended spectrum of presences. Nyström landmarks stand for the feature space, and
-one-versus-rest kernel ridge regression is solved on a sample of labelled rows of at most FIT_ROWS. Every text is scored whole:
-batches of presence vectors over the landmarks' n-grams times the landmark matrix, times the coefficients.
+one-versus-rest kernel ridge regression is solved on a sample of labelled texts: FIT_ROWS of them and SAMPLE_CHARS characters of each
+at most. The sample is drawn by hash thresholds, from a count of each language, so nothing is ranked. The feature space is the
+landmarks' n-grams; of more than GRAMS, those that most landmarks hold. Every text is scored whole: batches of presence
+vectors times the landmark matrix (at most GRAMS x LANDMARKS numbers, broadcast), times the coefficients.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows with a null label are predicted but not learnt
-from; without any labelled training row all texts are `und`; equal texts get equal predictions; an empty table gives an empty
+from; without any labelled training row all texts are `und`; equal texts get equal predictions, and are one text of the sample; an empty table gives an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled rows that the classifier is fitted on, at most; each language has an equal share of them.
-FIT_ROWS = 2400
+from .common import durable
+
+#: Labelled texts that the classifier is fitted on, at most, and the characters of each; every language has an equal share of the texts.
+FIT_ROWS, SAMPLE_CHARS = 2400, 20_000
 #: Nyström landmarks, at most, dealt evenly over the languages.
 LANDMARKS = 160
 #: Longest n-gram, and the ridge.
 SPECTRUM, RIDGE = 3, 0.05
 #: Texts in one matrix product.
 BATCH = 64
-#: Sample rows are texts of up to so many characters as long as a language has any.
-SAMPLE_CHARS = 20_000
+#: Features at most.
+GRAMS = 1 << 16
 UND = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,8 +63,11 @@ class Spectrum:
     def home(self, g):
         return (g * _MIX >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def presence(self, text: str, row: np.ndarray) -> None:
-        g = ngrams(text)
+    def presence(self, text: str, row: np.ndarray) -> int:
+        """Fills the row; the number of the text's distinct n-grams, those beside the features included."""
+        g = np.sort(ngrams(text))
+        g = g[np.append(True, g[1:] != g[:-1])]
+        distinct = len(g)
         at = self.slots[0][self.home(g)]
         hit = at >= 0
         at, g2 = at[hit], g[hit]
@@ -69,6 +78,7 @@ class Spectrum:
             place = np.minimum(np.searchsorted(self.rest, other), len(self.rest) - 1)
             ok = self.rest[place] == other
             row[self.rest_at[place[ok]]] = 1
+        return distinct
 
 
 class Classifier:
@@ -79,49 +89,49 @@ class Classifier:
         by = {lang: [t for t, x in zip(texts, labels, strict=True) if x == lang] for lang in self.languages}
         each = max(1, landmarks // len(self.languages))
         marks = [t for lang in self.languages for t in by[lang][:each]]
-        self.spectrum = Spectrum(np.unique(np.concatenate([ngrams(t) for t in marks])))
+        grams, held = np.unique(np.concatenate([np.unique(ngrams(t)) for t in marks]), return_counts=True)
+        self.spectrum = Spectrum(np.sort(grams[np.argsort(-held, kind="stable")[:GRAMS]]))
         self.marks = self.unit(marks).T.copy()
         own = self.marks.T @ self.marks
         value, vector = np.linalg.eigh(own.astype(np.float64))
         keep = value > 1e-6 * value[-1]
         root = vector[:, keep] / np.sqrt(value[keep])
         phi = np.concatenate([self.unit(texts[k : k + BATCH]) @ self.marks for k in range(0, len(texts), BATCH)]).astype(np.float64) @ root
-        y = np.where(np.array(labels)[:, None] == np.array(self.languages)[None, :], 1.0, -1.0)
-        self.mean, base = phi.mean(0), y.mean(0)
-        x = phi - self.mean
-        w = np.linalg.solve(x.T @ x + RIDGE * np.eye(x.shape[1]), x.T @ (y - base))
-        self.coefficients, self.offset = (root @ w).astype(np.float32), (base - self.mean @ w).astype(np.float32)
+        y = np.where(np.array(labels)[:, None] == np.array(self.languages)[None, :], 2.0, 0.0)  # above -1, the value of a text that shares nothing with any landmark
+        w = np.linalg.solve(phi.T @ phi + RIDGE * np.eye(phi.shape[1]), phi.T @ y)
+        self.coefficients = (root @ w).astype(np.float32)
 
     def unit(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.spectrum.keys)), np.float32)
-        for t, row in zip(texts, x, strict=True):
-            self.spectrum.presence(t, row)
-        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        own = np.array([self.spectrum.presence(t, row) for t, row in zip(texts, x, strict=True)], np.float32)
+        return x / np.sqrt(own)[:, None]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language of the largest decision value, and that value taken from -1 to 1 to 0 to 1."""
         out = []
         for k in range(0, len(texts), BATCH):
-            value = (self.unit(texts[k : k + BATCH]) @ self.marks) @ self.coefficients + self.offset
+            value = (self.unit(texts[k : k + BATCH]) @ self.marks) @ self.coefficients - 1
             best = value.argmax(1)
             out += [(self.languages[b], float(min(1.0, max(0.0, (v[b] + 1) / 2)))) for b, v in zip(best, value, strict=True)]
         return out
 
 
 def sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str, rows: int = FIT_ROWS) -> list[tuple[str, str]]:
-    """At most rows (text, label) pairs: of each language the rows of smallest hash, those of up to SAMPLE_CHARS first."""
-    own = docs.where(train).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"), (F.length(text_col) > SAMPLE_CHARS).alias("long"))
-    languages = own.groupBy("l").count().orderBy(F.desc("count"), "l").limit(rows).count()
-    if not languages:
+    """At most rows (text, label) pairs: of each language about an equal share, the distinct texts of smallest hash, each cut to SAMPLE_CHARS."""
+    text = F.col(text_col)
+    own = docs.where(train).where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).alias("l"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("h"), text.alias("t"))
+    keys = durable(own.select("l", "h").distinct(), "language-keys")
+    found = keys.groupBy("l").count().orderBy(F.desc("count"), "l").limit(rows).collect()  # a row for each language, rows of them at most
+    if not found:
         return []
-    key = own.select("l", "h", "long", F.length("t").alias("n"))
-    each = max(1, rows // languages)
-    # first among the rows of each salt, so that a language with most of the rows isn't ranked by one task
-    rank = lambda *by: F.row_number().over(Window.partitionBy("l", *by).orderBy("long", "h", "n"))
-    key = key.withColumn("salt", F.pmod("h", F.lit(64))).withColumn("k", rank("salt")).where(F.col("k") <= each)
-    picked = key.withColumn("k", rank()).where(F.col("k") <= each).orderBy("k", "l").limit(rows).select("l", "h", "n").distinct()
-    found = own.withColumn("n", F.length("t")).join(F.broadcast(picked), ["l", "h", "n"]).select("t", "l", "h")
-    return [(r[0], r[1]) for r in sorted(found.limit(2 * rows).collect(), key=lambda r: (r[1], r[2], r[0]))]
+    each = max(1, rows // len(found))
+    below = {r["l"]: min(2**63 - 1, 2**63 // r["count"] * (each + 4 * math.isqrt(each) + 4)) for r in found}  # a few more than each are below it, by all odds
+    limits = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
+    picked = keys.where(F.col("h") <= limits[F.col("l")])
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    picked = picked.withColumn("k", place).where(F.col("k") <= each).select("l", "h")  # of some more than each rows
+    texts = own.join(F.broadcast(picked), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", 1, SAMPLE_CHARS)).alias("t"))
+    return [(r["t"], r["l"]) for r in sorted(texts.collect(), key=lambda r: (r["l"], r["h"]))]
 
 
 def identify(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, keep: tuple = ()) -> DataFrame:

@@ -147,6 +147,20 @@ def test_language(spark, make):
         assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
 
 
+def test_language_sample(spark, monkeypatch):
+    """Equal shares of distinct texts of each language, with bounded lengths, whatever is repeated how often."""
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 50)
+    rows = [(k, f"some words of text number {k} " * 9, "en") for k in range(900)] + [(None, "the same text", "en")] * 500 + [(k, f"ein paar deutsche {k}", "de") for k in range(40)]
+    found = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), "doc_id", "text", "lang", 200)
+    assert Counter(x for _, x in found) == {"en": 100, "de": 40} and len(set(found)) == 140 and max(len(t) for t, _ in found) == 50
+
+
+def test_language_features_are_bounded(monkeypatch):
+    monkeypatch.setattr(language_id, "GRAMS", 40)
+    c = language_id.Classifier([f"the cat {k} and the dog" for k in range(30)] + [f"der hund {k} und die katze" for k in range(30)], ["en"] * 30 + ["de"] * 30)
+    assert len(c.spectrum.keys) == 40 and [x for x, _ in c.predict(["the dog and the cat", "die katze und der hund"])] == ["en", "de"]
+
+
 def test_spectrum_presence():
     texts = ["abcabd", "xyz", "Äbc de"]
     s = language_id.Spectrum(np.unique(np.concatenate([language_id.ngrams(t) for t in texts])))

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import chat, mtree, queries
+from loomtext.llm import chat, language_id, mtree, queries
 from loomtext.llm.common import durable
 
-from .data import SMALL, documents, odd
+from .data import SMALL, documents, empty, odd
 
 
 def test_top_k_against_sql(spark):
@@ -130,6 +130,10 @@ def test_chat_empty(spark):
     assert chat.chat_digests(chat.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def plain_rows(df):
+    return [(r.doc_id, r.text or "") for r in df.collect()]
+
+
 @pytest.mark.parametrize("make", [documents, odd])
 def test_pipeline_stages(spark, make):
     """Each stage against plain Python on what the one before kept."""
@@ -137,15 +141,24 @@ def test_pipeline_stages(spark, make):
     kept = [docs]
     for _, stage in corpus_pipeline.STAGES:
         kept.append(durable(stage(spark, kept[-1], SMALL), "stage"))
-    rows = [[(r.doc_id, r.text or "") for r in k.collect()] if k.columns == list(corpus_pipeline.COLUMNS) else k.collect() for k in kept]
-    assert names[1] == "exact dedup" and Counter(rows[1]) == Counter((i, t) for i, t in rows[0] if any(ch.isalpha() for ch in t))
+    rows = [plain_rows(k) if k.columns == list(corpus_pipeline.COLUMNS) else k.collect() for k in kept]
+    seen = language_id.identify(docs, F.lit(True), keep=("text", "lang")).collect()
+    stays = [r for r in seen if any(ch.isalpha() for ch in r.text or "") and (r.score >= corpus_pipeline.FLOOR or r.lang == r.lang_pred)]
+    assert names[1] == "exact dedup" and Counter(rows[1]) == Counter((r.doc_id, r.text or "") for r in stays)
+    assert Counter((r.doc_id, r.lang) for r in kept[1].collect()) == Counter((r.doc_id, r.lang or r.lang_pred) for r in stays)
     best = {}
     for i, t in rows[1]:
         best[t] = max(best.get(t, -1), -1 if i is None else i)
     assert Counter(t for _, t in rows[2]) == Counter(best.keys())
+    assert len(set(rows[3])) == len(rows[3]) and Counter(rows[3]) == near_brute(rows[2])
+    assert set(rows[4]) <= set(rows[3]) and max(Counter(rows[4]).values()) <= 3
+    assert Counter(r.doc_id for r in rows[5] if r.piece == 0) == Counter(i for i, _ in rows[4])
+
+
+def near_brute(rows):
     from .test_documents import sets
 
-    own, root = [sets(t, 5) for _, t in rows[2]], list(range(len(rows[2])))
+    own, root = [sets(t, 5) for _, t in rows], list(range(len(rows)))
 
     def top(a):
         while root[a] != a:
@@ -156,6 +169,29 @@ def test_pipeline_stages(spark, make):
         for b in range(a):
             if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]):
                 root[top(a)] = top(b)
-    assert len(rows[3]) == len({top(k) for k in range(len(own))}) and len(set(rows[3])) == len(rows[3])
-    assert set(rows[4]) <= set(rows[3]) and max(Counter(rows[4]).values()) <= 3
-    assert Counter(r.doc_id for r in rows[5] if r.piece == 0) == Counter(i for i, _ in rows[4])
+    groups = defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        name = (i is not None, i or 0, hashlib.sha256(t.encode()).hexdigest())
+        groups[top(k) if own[k] else name].append((name, (i, t)))
+    return Counter(min(g)[1] for g in groups.values())
+
+
+def test_pipeline_near_copies_alone(spark):
+    """Equal texts of different or equal ids, as that stage sees them when exact dedup hasn't run: one of each group stays."""
+    docs = odd(spark).unionByName(odd(spark)).select(*corpus_pipeline.COLUMNS)
+    assert Counter(plain_rows(corpus_pipeline.near_copies(spark, docs, SMALL))) == near_brute(plain_rows(docs))
+
+
+def test_pipeline_languages(spark):
+    """Without labels, documents with a letter stay; with them, one that the classifier finds no language in goes unless its label is the best guess."""
+    docs = odd(spark).select(*corpus_pipeline.COLUMNS)
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert Counter(plain_rows(corpus_pipeline.language_id(spark, bare, SMALL))) == Counter(r for r in plain_rows(docs) if any(ch.isalpha() for ch in r[1]))
+    alien = spark.createDataFrame([(-1, "ΞΨΩ ϠϡϢ", None, "a", None)], bare.schema)
+    got = plain_rows(corpus_pipeline.language_id(spark, documents(spark).select(*corpus_pipeline.COLUMNS).unionByName(alien), SMALL))
+    assert (-1, "ΞΨΩ ϠϡϢ") not in got and len(got) > 100
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    none = empty(spark).select(*corpus_pipeline.COLUMNS)
+    assert [stage(spark, none, SMALL).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
