@@ -59,6 +59,65 @@ def test_pii_learns(spark):
     assert found[200].spans == "phone:12:26" and found[200].n_phone == 0 and found[201].spans.startswith("email:9:")
 
 
+#: (text before, the span, its kind or None where it isn't personal data, text after)
+LINES = [
+    ("mail bob", " [at] mail [dot] com", "email", " or"), ("write to ann.lee", "(at)example(dot)org", "email", " now"), ("reach x", " at mail dot net", "email", ", he said"),
+    ("host ", "2001:db8::8a2e:370:7334", "ip", " is up"), ("address ", "fe80:0:0:0:202:b3ff:fe1e:8329", "ip", "."), ("server ", "10[.]1[.]22[.]3", "ip", " down"),
+    ("card ", "4539.1488.0343.6467", "card", " paid"), ("visa ", "4539/1488/0343/6467", "card", "."),
+    ("call ", "(212) 555-0199", "phone", " today"), ("phone ", "0044 20 7946 0958", "phone", "."),
+    ('api_key = "', "9f8a7c6b5d4e3f2a1b0c9d8e7f6a5b4c", "secret", '" # do not share'), ("password: '", "hV7x!pQ2mZ9k", "secret", "' set"), ("use ", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "secret", " to push"),
+    ("order ref ", "299 555-0199 4", None, " sent"), ("commit = '", "shortname-only", None, "' done"), ("std", "::dec", None, " and a::b"), ("he was at dot ", "com", None, "s"),
+    ("chapter ", "1234.5678.9012.3456", None, " of"), ("the ", "internationalizationally2", None, " word"), ("at 10:20:30 ", "1:2", None, " won"),
+]
+
+
+def test_pii_added_spans(spark):
+    """Precision and recall of what the method adds, on labelled lines among ordinary ones that the labelers learn from."""
+    rows = [(k, b + s + a) for k, (b, s, _, a) in enumerate(LINES)]
+    rows += [(100 + k, f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}" and mail a{k}@b.com, host 10.0.{k % 256}.7, phone +1 (212) 555-{1000 + k}') for k in range(60)]
+    rows += [(300 + k, f"order ref {k} serial +{k}23-4, version 300.1.2.{k}, id {4539148803436000 + 10 * k}") for k in range(60)]
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = want = got = 0
+    for k, (b, s, kind, _) in enumerate(LINES):
+        spans = [x.split(":") for x in found[k].spans.split(",") if x]
+        start = len(b) - len(b.rsplit(" ", 1)[-1]) if kind == "email" else len(b)
+        want, got = want + (kind is not None), got + len(spans)
+        hit += [kind, str(start), str(len(b) + len(s))] in spans
+    assert hit / want >= 0.9 and hit / got >= 0.9, [(k, found[k].spans, LINES[k]) for k in range(len(LINES))]
+    assert all(found[100 + k].spans.endswith("secret:9:49") and found[100 + k].n_spans == 4 for k in range(60)) and not any(found[300 + k].n_added for k in range(60))
+
+
+def test_pii_long_spans_and_texts():
+    """Spans aren't clipped, and many of them take time in proportion."""
+    assert [x[:3] for x in pii.shapes("x" * 500 + " [at] mail [dot] com")] == [(0, 0, 520)]
+    import time
+
+    def took(n):
+        began = time.process_time()
+        assert len(pii.shapes("call (212) 555-0199 or +1 (212) 555-0123 a b::c 1.2.3.4 " * n)) == 4 * n
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 12 * took(4_000) + 0.5
+
+
+def test_reliabilities_are_recovered():
+    """EM over votes drawn from known tables finds these tables."""
+    rng = np.random.default_rng(11)
+    true = np.array([[[0.7, 0.2, 0.1], [0.05, 0.15, 0.8]], [[0.6, 0.1, 0.3], [0.1, 0.1, 0.8]], [[0.3, 0.6, 0.1], [0.1, 0.4, 0.5]], [[0.2, 0.75, 0.05], [0.05, 0.55, 0.4]], [[0.5, 0.0, 0.5], [0.1, 0.0, 0.9]]])
+    kind = rng.integers(0, len(pii.KINDS), 60_000)
+    y = rng.random(len(kind)) < np.array([0.5, 0.3, 0.6, 0.4, 0.5])[kind]
+    v = np.stack([(rng.random(len(kind))[:, None] > np.cumsum(true[j][y.astype(int)], 1)).sum(1) for j in range(5)], 1)
+    pattern, n = np.unique(np.column_stack([kind, v]), axis=0, return_counts=True)
+    p, table, prior = pii.reliabilities(pattern[:, 0], pattern[:, 1:], n.astype(float), rounds=300)
+    assert np.abs(table - true).max() < 0.06 and np.abs(prior - [0.5, 0.3, 0.6, 0.4, 0.5]).max() < 0.06
+    x = pii.features(pattern[:, 0], pattern[:, 1:], np.zeros((len(pattern), 4)))
+    q = 1 / (1 + np.exp(-x @ pii.train(x, p, n.astype(float))))
+    by = {tuple(r): k for k, r in enumerate(pattern)}
+    at = [by[tuple(r)] for r in np.column_stack([kind, v])]
+    assert np.mean((q[at] >= 0.5) == y) > 0.85
+
+
 def sets(t, w):
     x = text(t).encode().lower().split()
     return {tuple(x[k : k + w]) for k in range(len(x) - w + 1)} if len(x) >= w else {tuple(x)} if x else set()
