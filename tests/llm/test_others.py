@@ -37,15 +37,58 @@ def test_top_k_odd_rows(spark):
     assert mtree.top_k(table.where("vec_id in (20, 21, 22)"), F.col("vec_id") == 20).count() == 2
 
 
-def test_tree_is_exact():
+@pytest.mark.parametrize("scale", [256, 2.0**24])
+def test_tree_is_exact(scale):
+    """In blocks of queries, with and without a score to beat; also where scores need more than a double's 53 bits."""
     rng = np.random.default_rng(4)
-    x = np.floor(256 * rng.normal(size=(1500, 8)))
-    t = mtree.MTree(np.arange(1500), x, float((x**2).sum(1).max()))
-    for q in range(0, 1500, 111):
-        s = (x @ x[q]).astype(int)
-        want = sorted(((int(s[j]), j) for j in range(1500) if j != q), key=lambda p: (-p[0], p[1]))[:5]
-        assert sorted(t.search(x[q], q, 5), key=lambda p: (-p[0], p[1])) == want
-        assert sorted(t.search(x[q], q, 5, want[2][0]), key=lambda p: (-p[0], p[1])) == [p for p in want if p[0] >= want[2][0]]
+    x = np.floor(scale * rng.normal(size=(1500, 8)))
+    x[700:1000] = x[700] + rng.integers(0, 3, (300, 8))
+    t = mtree.MTree(np.arange(1500), x, float((x**2).sum(1).max()) * (1 + 1e-9))
+    q = np.arange(0, 1500, 11)
+    exact = x.astype(np.int64).astype(object)
+    s = exact[q] @ exact.T
+    want = [sorted(((int(s[a, j]), j) for j in range(1500) if j != i), key=lambda p: (-p[0], p[1]))[:5] for a, i in enumerate(q)]
+    by = lambda found: [sorted(f, key=lambda p: (-p[0], p[1])) for f in found]
+    assert by(t.search(x[q], q, 5, np.full(len(q), -np.inf))) == want
+    if scale == 256:
+        assert by(t.search(x[q], q, 5, np.array([float(w[2][0]) for w in want]))) == [[p for p in w if p[0] >= w[2][0]] for w in want]
+
+
+def test_tree_leaves_pages_closed(monkeypatch):
+    """Clustered vectors: most pages are never opened."""
+    monkeypatch.setattr(mtree, "PAGE", 32)
+    rng = np.random.default_rng(8)
+    x = np.floor(256 * (np.repeat(rng.normal(size=(64, 16)) * 8, 64, 0) + rng.normal(size=(4096, 16)) * 0.05))
+    t = mtree.MTree(np.arange(4096), x, float((x**2).sum(1).max()) * (1 + 1e-9))
+    opened = []
+    real = np.split
+    monkeypatch.setattr(mtree.np, "split", lambda *a: opened.append(len(a[0])) or real(*a))
+    t.search(x[:1], np.arange(1), 5, np.full(1, -np.inf))
+    assert sum(opened) < len(t.nodes) / 3
+
+
+def test_top_k_in_small_trees(spark, monkeypatch):
+    """Many routing objects, rings, hashed parts and blocks; a vector that a third of the rows share; ids that repeat."""
+    for name, n in (("TREE_ROWS", 40), ("QUERY_BLOCK", 3), ("MAX_PIVOTS", 4), ("RINGS", 3), ("PAGE", 8)):
+        monkeypatch.setattr(mtree, name, n)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(c) for c in rng.normal(size=4).round(2)]) for i in range(400)] + [(i, [0.5, -0.25, 0.5, 0.0]) for i in range(400, 600)] + [(20, [9.0, 9.0, 9.0, 9.0]), (401, [0.5, -0.25, 0.5, 0.0])] + [(777, [3.0, 3.0, 3.0, 3.0])] * 9
+    found = defaultdict(list)
+    for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        found[r.query_id].append((r.rank, r.score, r.vec_id))
+    v = [(i, np.floor(256 * np.array(x)).astype(int)) for i, x in rows]
+    queries = {}
+    for i, x in v:
+        if i % 20 == 0:
+            queries[i] = min(queries.get(i, x.tolist()), x.tolist())
+    for i, q in queries.items():
+        want = sorted(((int(np.array(q) @ x), j) for j, x in v if j != i), key=lambda p: (-p[0], p[1]))[:5]
+        assert sorted(found[i]) == [(n + 1, *w) for n, w in enumerate(want)]
+
+
+def test_top_k_beyond_64_bits(spark):
+    with pytest.raises(ValueError, match="64 bits"):
+        mtree.top_k(spark.createDataFrame([(1, [1e9, 1e9]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
 ODD = [
