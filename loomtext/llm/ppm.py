@@ -5,11 +5,12 @@ order ORDER, pretrained on the training documents: at a context of n counts over
 (2 c(s) - 1) / 2n and the escape to the next shorter context d / 2n (method D); symbols seen in the longer context are excluded
 from n and d of the shorter one. Below order 0 the symbols never seen share the rest evenly.
 
-The trie is never in one place. Tasks count (context, symbol) strings of ORDER + 1 symbols; these are dealt by the last two
-symbols of the context, so every node down from depth two is in the same partition as its suffixes; the nodes above are a table of
-258 x 258 counts. Each partition writes the log probability of each of its strings, those that only unseen documents hold
-included. Texts are then scored by looking their strings up (see lexicon: the commonest, at most GRAMS, from a broadcast hash
-table; all others by a join).
+The trie is never in one place. Tasks count (context, symbol) strings of ORDER + 1 symbols; these are dealt by the last three
+symbols of the context, so every node down from depth three is in the same partition as its suffixes; the nodes above are a table of
+the counts of strings of three symbols, at most 258^3 whatever the corpus (some hundred thousand in text). A partition comes sorted by these three
+symbols and is worked on in stretches of whole subtrees of about STRETCH strings, so a task holds no more than that or one subtree. It
+writes the log probability of each string, those that only unseen documents hold included. Texts are then scored by looking
+their strings up (see lexicon: the commonest, at most GRAMS, from a broadcast hash table of 64 MB at most; all others by a join).
 
 Defined cases: a null text has no words, so only its end is scored; a null id counts as an empty one for the split; equal rows
 are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -38,6 +39,8 @@ GRAMS = 2_000_000
 #: Positions worked on at once.
 CHUNK = 1_000_000
 HELD = 300_000
+#: Strings of the trie worked on at once, about.
+STRETCH = 200_000
 
 
 def words(text) -> list[bytes]:
@@ -119,14 +122,24 @@ def locate(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
-def log_probabilities(gram: np.ndarray, n_train: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """log10 P(symbol | context) of each gram; gram: ascending, all that share the last two context symbols; top: counts by (last context symbol, symbol)."""
+class Top:
+    """The nodes of depth two and less: counts of strings of three symbols in the training documents, keys ascending."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts.astype(np.float64)
+        self.pairs = np.zeros((SYMBOLS, SYMBOLS))
+        np.add.at(self.pairs, (keys >> BITS & (1 << BITS) - 1, keys & (1 << BITS) - 1), self.counts)
+
+
+def log_probabilities(gram: np.ndarray, n_train: np.ndarray, top: Top) -> np.ndarray:
+    """log10 P(symbol | context) of each gram; gram: ascending, all that share the last three context symbols of any of them."""
     seen = gram[n_train > 0]
     c_seen = n_train[n_train > 0].astype(np.float64)
     mask = lambda k: (1 << BITS * (k + 1)) - 1  # noqa: E731  of a context of k symbols and a symbol
-    pairs, counts = {}, {}
-    for k in range(2, ORDER + 1):
+    pairs, counts = {2: top.keys}, {2: top.counts}
+    for k in range(3, ORDER + 1):
         pairs[k], counts[k] = merged(seen & mask(k), c_seen)
+    top = top.pairs
 
     def count(k, g):
         """Of each gram's string of order k."""
@@ -141,7 +154,6 @@ def log_probabilities(gram: np.ndarray, n_train: np.ndarray, top: np.ndarray) ->
     log = np.zeros(len(gram))
     open_ = np.ones(len(gram), bool)  # not yet predicted
     excluded = np.zeros((len(gram), ORDER + 1, 2))  # at [k]: counts and number of the symbols that the context of k + 1 has seen
-    known = np.zeros((len(gram), ORDER + 2), bool)  # whether the context of k symbols was seen
     size = np.zeros((len(gram), ORDER + 2, 2))
     for k in range(ORDER, -1, -1):
         if k >= 2:
@@ -159,7 +171,6 @@ def log_probabilities(gram: np.ndarray, n_train: np.ndarray, top: np.ndarray) ->
             excluded[:, 0] = np.stack([((top > 0) * zero).sum(1)[c], (top > 0).sum(1)[c]], 1)
         else:
             size[:, 0] = zero.sum(), (zero > 0).sum()
-        known[:, k] = size[:, k, 0] > 0
     for k in range(ORDER, -1, -1):
         n, d = size[:, k, 0], size[:, k, 1]
         if k < ORDER:
@@ -179,7 +190,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         at, left = self.home(keys), np.arange(len(keys))
         while len(left):
             spot = at[left]
@@ -239,22 +250,34 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     # strings of all documents, with the counts of the training documents
     counted = texts.mapInArrow(count_grams, "gram long, n_train long, n_other long")
-    symbol = (1 << BITS) - 1
-    last = lambda k: F.shiftright("gram", BITS * k).bitwiseAND(symbol)
     counted = durable(counted.groupBy("gram").agg(F.sum("n_train").alias("n_train"), F.sum("n_other").alias("n_other")), "lm-grams")
-    top = np.zeros((SYMBOLS, SYMBOLS), np.int64)
-    for r in counted.where("n_train > 0").groupBy(last(1).alias("c"), last(0).alias("s")).agg(F.sum("n_train").alias("n")).collect():  # at most SYMBOLS squared
-        top[r["c"], r["s"]] = r["n"]
+    three = counted.where("n_train > 0").groupBy(F.col("gram").bitwiseAND((1 << 3 * BITS) - 1).alias("g")).agg(F.sum("n_train").alias("n")).orderBy("g").toArrow()  # at most SYMBOLS cubed
+    top = spark.sparkContext.broadcast(Top(three.column("g").to_numpy(), three.column("n").to_numpy()))
 
     def trie(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if got:
-            g, t, o = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(g)
-            g, t, o = g[order], t[order], o[order]
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(t + o), pa.array(log_probabilities(g, t, top))], names=["gram", "n", "logp"])
-
-    model = durable(counted.repartition(F.shiftright("gram", BITS).bitwiseAND((1 << 2 * BITS) - 1)).mapInArrow(trie, "gram long, n long, logp double"), "lm-model")
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= STRETCH:
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = t.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last subtree may go on
+                if cut:
+                    yield estimated(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                size = len(t) - cut
+        if size:
+            yield estimated(pa.Table.from_batches(held))
+
+    def estimated(t: pa.Table) -> pa.RecordBatch:
+        g, n, o = (t.column(c).to_numpy() for c in ("gram", "n_train", "n_other"))
+        order = np.argsort(g)
+        g, n, o = g[order], n[order], o[order]
+        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n + o), pa.array(log_probabilities(g, n, top.value))], names=["gram", "n", "logp"])
+
+    dealt = counted.withColumn("key", F.shiftright("gram", BITS).bitwiseAND((1 << 3 * BITS) - 1)).repartition("key").sortWithinPartitions("key")
+    model = durable(dealt.mapInArrow(trie, "gram long, n long, logp double"), "lm-model")
     most = lexicon.common(model, "n", common_grams).select("gram", "logp").toArrow()
     known_grams = spark.sparkContext.broadcast(Table(most.column("gram").to_numpy(), most.column("logp").to_numpy()))
     del most
