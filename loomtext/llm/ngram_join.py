@@ -9,14 +9,20 @@ sum of the coordinate minima of their points; an R-tree over points bounds whole
    n - ceil(num n / den) + 1 of any common order, so each linked pair meets. The order is that of how many shingles of all documents the
    shingle's hash group holds (2^SKETCH groups, so the table has a fixed size): what many documents share comes last.
 3. In each group an R-tree is searched with each point; what survives the bound joins a forest of candidates, so a
-   group of m near copies gives m - 1 links and not m (m - 1) / 2. Groups above GROUP nodes are split into pairs of blocks.
+   group of m near copies gives m - 1 links and not m (m - 1) / 2.
 4. The candidates' components hold every true link. Their sets are built once more from the whole texts (found with a Bloom filter
    of fixed size, then joined exactly), searched by an R-tree again, and every surviving pair that could still join two
-   components is verified by counting common shingles. Components above BLOCK shingles are split into pairs of blocks.
+   components is verified by counting common shingles.
    If the number of links is asked for, the same tasks verify all pairs of each component instead, each pair in one task.
 5. Connected components of the verified links, without collecting any of them.
 
-Blocks keep a task bounded for a group of any size, but the number of block pairs is the square of the number of blocks.
+Groups above GROUP points of GROUPS coordinates and components above BLOCK shingles are searched in blocks, in two rounds (`in_rounds`):
+each block with the same representatives, which joins a family of near copies whole; then only what isn't in the largest part
+against every block. So the work is linear in the size of a family, and a product only of what is left outside with the whole.
+With the number of links asked for, all pairs of blocks are searched, as each pair counts.
+
+Shingles are compared as 64-bit hashes (of polynomial hashes of their words): different shingles of equal hash count as one, which among the
+few thousand shingles of two documents has a chance of less than 1 in 10^12.
 
 Defined cases: a text that is null or has no words has an empty set and links with nothing; a text of fewer words than a shingle is
 one shingle; rows with equal text are linked; a null id takes part, and a component's name is the smallest id that isn't null;
@@ -39,7 +45,7 @@ from .components import components
 #: Shingle words and similarity unless said otherwise.
 WORDS, NUM, DEN = 5, 80, 100
 GROUPS, SKETCH = 64, 20
-#: Nodes of a group searched by one task; groups up to SMALL are compared as lists of members, so that equal lists are searched once.
+#: Points of GROUPS coordinates (a finer point counts as several) searched by one task; groups up to SMALL are compared as lists of members, so that equal lists are searched once.
 GROUP, SMALL = 4096, 64
 #: Shingles of a component that one task holds, and bits of the Bloom filter.
 BLOCK, BLOOM = 4_000_000, 1 << 26
@@ -267,6 +273,34 @@ def in_blocks(groups: DataFrame, blocks, node: str) -> DataFrame:
     return groups.withColumn("_pair", F.explode(pairs)).withColumn("i", F.col("_pair.i")).withColumn("j", F.col("_pair.j")).drop("_pair")
 
 
+def dealt(groups: DataFrame) -> DataFrame:
+    return groups.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+
+def in_rounds(rows: DataFrame, most: int, find) -> DataFrame:
+    """Links that join all that `find` links within the groups, for groups too large for one task.
+
+    rows: g, node, w (weight), total (the group's weight, above `most`) and what find needs, a function for mapInArrow over rows sorted by g, i, j.
+    """
+    blocks = F.ceil(F.col("total") / most).cast("int")
+    place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    chosen = place(blocks * 4, 8) == 0  # about a quarter of a block's weight
+    first = rows.withColumn("i", F.explode(F.when(chosen, every(blocks)).otherwise(F.array(place(blocks, 7))))).withColumn("j", F.lit(0))
+    found = durable(dealt(first).mapInArrow(find, LINK), "round-links")
+    named = rows.select("g", "node", "w").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = durable(named, "round-names")
+    parts = named.groupBy("g", "root").agg(F.sum("w").alias("w")).groupBy("g").agg(F.max(F.struct("w", "root")).alias("m"), F.sum("w").alias("all"))
+    parts = durable(parts.where(F.col("all") > F.col("m.w")).select("g", F.col("m.root").alias("major"), F.ceil((F.col("all") - F.col("m.w")) / most).cast("int").alias("rest")), "round-parts")
+    if parts.isEmpty():
+        return found
+    minor = named.join(parts, "g").where(F.col("root") != F.col("major")).select("g", "node")
+    left = rows.join(parts.select("g", "rest"), "g")
+    whole = left.withColumn("i", F.explode(every(F.col("rest")))).withColumn("j", place(blocks, 7))
+    some = left.join(minor, ["g", "node"], "left_semi").withColumn("i", place(F.col("rest"), 9)).withColumn("j", F.explode(every(blocks)))
+    return found.unionByName(durable(dealt(whole.unionByName(some.select(*whole.columns))).mapInArrow(find, LINK), "round-links"))
+
+
 def bloom_of(hashes: DataFrame) -> np.ndarray:
     """A Bloom filter of BLOOM bits, whatever the number of hashes (column h): two bits for each, set by aggregation; at most BLOOM / 32 rows are collected."""
     bits = hashes.select(F.explode(F.array("h", F.xxhash64("h"))).alias("h")).select(F.pmod("h", F.lit(BLOOM)).alias("b"))
@@ -323,18 +357,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     nodes = members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("sigs").alias("sigs"), *([F.count(F.lit(1)).alias("copies")] if links else []))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
-    # groups of nodes that share a shingle of their prefixes
-    meet = nodes.select("node", F.explode("sigs").alias("sig")).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("size > 1")
-    meet = durable(meet, "join-meet")
-    lists = meet.where(F.col("size") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
-    lists = lists.withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("m").alias("node")).withColumn("i", F.lit(-1)).withColumn("j", F.lit(-1))
-    large = in_blocks(meet.where(F.col("size") > SMALL), F.ceil(F.col("size") / GROUP), "node").select(F.col("sig").alias("g"), "node", "i", "j")
-    groups = durable(lists.unionByName(large), "join-groups").join(nodes.select("node", "n", "vec"), "node").select("g", "i", "j", "node", "n", "vec")
+    # groups of nodes that share a shingle of their prefixes; sizes are summed in the tasks first, and found again by a join that may split a hot shingle
+    meet = nodes.select("node", (F.octet_length("vec") / (4 * GROUPS)).cast("long").alias("w"), F.explode("sigs").alias("sig"))
+    sizes = meet.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("total")).where("size > 1")
+    meet = durable(meet.join(sizes, "sig"), "join-meet")
+    one = F.col("total") <= GROUP
+    lists = meet.where(one & (F.col("size") <= SMALL)).groupBy("sig").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
+    lists = lists.withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("m").alias("node"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    middle = meet.where(one & (F.col("size") > SMALL)).select(F.col("sig").alias("g"), "node", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    points = nodes.select("node", "n", "vec")
+    groups = durable(lists.unionByName(middle), "join-groups").join(points, "node").select("g", "i", "j", "node", "n", "vec")
+    large = meet.where(~one).select(F.col("sig").alias("g"), "node", "w", "total")
+    large = None if large.isEmpty() else durable(large.join(points, "node").select("g", "node", "w", "total", "n", "vec"), "join-large")
 
     def bound(batches):
         found = []
-        for _, t in runs(batches, 3):
-            node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
+        for _, t in runs((b.select(["g", "i", "j", "node", "n", "vec"]) for b in batches), 3):
+            node, first = np.unique(t.column("node").to_numpy(), return_index=True)  # a node may come twice to a block
+            t = t.take(pa.array(first))
+            n = t.column("n").to_numpy()
             fine = [np.frombuffer(x, "<u4") for x in t.column("vec").to_pylist()]
             v = np.stack([folded(x, GROUPS) for x in fine])
 
@@ -354,12 +395,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
         if found:
             yield _links(found)
 
-    candidates = components(groups.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(bound, LINK))
+    pairs = dealt(groups).mapInArrow(bound, LINK)
+    candidates = components(pairs.unionByName(in_rounds(large, GROUP, bound)) if large else pairs)
 
     # the candidates' sets, from their whole texts
     named = candidates.withColumnRenamed("root", "comp").union(candidates.select("root", "root").distinct()).toDF("node", "comp")
     named = durable(named.join(nodes.select("node", "digest", "id", "n", *(["copies"] if links else [])), "node"), "join-candidates")
-    blocks = named.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    blocks = durable(named.groupBy("comp").agg(F.sum("n").alias("total")), "join-components").withColumn("blocks", F.ceil(F.col("total") / BLOCK))
+    split = not links and not blocks.where("blocks > 1").isEmpty()
     bloom = spark.sparkContext.broadcast(bloom_of(named.select(F.xxhash64("id").alias("h"))))
 
     def rebuild(batches):
@@ -371,12 +414,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "set"])
 
     sets = rows.select(F.xxhash64("id").alias("h"), F.xxhash64(F.xxhash64("id")).alias("h2"), "text").mapInArrow(rebuild, "digest binary, set binary")
-    sets = named.join(blocks, "comp").join(sets.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select("comp", "blocks", "node", "set", *(["copies"] if links else []))
-    own = [F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("own"), F.col("copies")] if links else []
-    sets = in_blocks(sets, F.col("blocks"), "node").select("comp", "i", "j", "node", "set", *own)
+    sets = named.join(blocks, "comp").join(sets.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).withColumnRenamed("comp", "g")
+    big = durable(sets.where("blocks > 1").select("g", "node", F.col("n").alias("w"), "total", "set"), "join-big") if split else None
+    if links:
+        own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("own")
+        sets = in_blocks(sets, F.col("blocks"), "node").select("g", "i", "j", "node", "set", own, "copies")
+    else:
+        sets = sets.where("blocks = 1").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "set")
 
     def exact(batches):
-        for _, t in runs(batches, 3):
+        for _, t in runs((b.select(["g", "i", "j", "node", "set"]) for b in batches), 3):
             node, first = np.unique(t.column("node").to_numpy(), return_index=True)  # rows that repeat a set were rebuilt each
             data = t.column("set").take(pa.array(first)).to_pylist()
             s = [np.frombuffer(x, np.uint64) for x in data]
@@ -417,9 +464,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
                 names=["u", "v", "w"],
             )
 
-    dealt = sets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    pairs = durable(dealt.mapInArrow(counted, f"{LINK}, w long"), "join-links") if links else None
-    linked = components(pairs.where("v is not null").select("u", "v") if links else dealt.mapInArrow(exact, LINK))
+    if links:
+        pairs = durable(dealt(sets).mapInArrow(counted, f"{LINK}, w long"), "join-links")
+        linked = components(pairs.where("v is not null").select("u", "v"))
+    else:
+        pairs = dealt(sets).mapInArrow(exact, LINK)
+        linked = components(pairs.unionByName(in_rounds(big, BLOCK, exact)) if split else pairs)
     root = nodes.select("node", "id", "digest").join(linked, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     root = durable(root, "join-roots")
     least = root.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -156,6 +156,35 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert found == dict.fromkeys(range(30), 0) | {99: 99}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join_in_rounds(spark, monkeypatch, seed):
+    """Families that share passages, chains of links that run through them, and loners, in blocks far smaller than the groups."""
+    for name, n in (("GROUP", 4), ("SMALL", 3), ("BLOCK", 150)):
+        monkeypatch.setattr(ngram_join, name, n)
+    rng = np.random.default_rng(seed)
+    common, rows = [f"c{k}" for k in range(25)], []
+    for family in range(4):
+        base = common + [f"f{family}w{k}" for k in range(30)]
+        for _ in range(25):
+            words = list(base)
+            for at in rng.integers(0, len(words), rng.integers(0, 4)):
+                words[at] = f"x{rng.integers(0, 50)}"
+            rows.append((len(rows), " ".join(words[: len(words) - rng.integers(0, 4)])))
+    own, root = [sets(t, 5) for _, t in rows], list(range(len(rows)))
+
+    def top(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    found = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: top(k) for k in range(len(rows))} and 4 < len(set(found.values())) < 100
+
+
 @pytest.mark.parametrize("make", [*TABLES, "family"])
 @pytest.mark.parametrize("block", [ngram_join.BLOCK, 200])
 def test_ngram_join_links(spark, monkeypatch, make, block):
