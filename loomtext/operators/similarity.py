@@ -1,4 +1,4 @@
-"""The same similarities as relations: for documents too long for one row's kernel, and for queries over terms and edges.
+"""The same similarities as relations, for queries over terms, edges and outliers. Rankings are kernels over a document's postings (rank.py).
 
 Everything is keyed by document and term, so a join only meets sentences of one document that share a word.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, words
+from ..functions.text import sentence_words, sentences, words
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,9 +31,10 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def idf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, term, df, n_sentences, idf."""
-    df = term_counts(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.select(F.col(id_col), F.size(sentences(text_col)).alias("n_sentences"))
-    return df.join(n, id_col).withColumn("idf", F.log(F.col("n_sentences") / F.col("df")))
+    w = docs.select(F.col(id_col), sentence_words(sentences(text_col)).alias("w")).select(id_col, F.size("w").alias("n_sentences"), F.explode("w").alias("w"))
+    w = w.select(id_col, "n_sentences", F.explode(F.array_distinct("w")).alias("term"))
+    df = w.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("df"), F.first("n_sentences").alias("n_sentences"))  # one aggregation, begun in the task
+    return df.withColumn("idf", F.log(F.col("n_sentences") / F.col("df")))
 
 
 def cosine_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

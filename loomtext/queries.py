@@ -39,8 +39,9 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Few row groups would be few tasks; a kernel wants all cores."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """A small file is a task or two, and a kernel wants all cores: it is dealt out. A table of more tasks than cores is left as it is, so no corpus is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,35 @@ e AS (SELECT a.doc_id, a.sent_idx AS i, b.sent_idx AS j, sum(a.x * b.x) / any_va
   JOIN m ma ON ma.doc_id = a.doc_id AND ma.sent_idx = a.sent_idx JOIN m mb ON mb.doc_id = b.doc_id AND mb.sent_idx = b.sent_idx GROUP BY 1, 2, 3)"""
 
 
+def _ranked(algorithm: str) -> str:
+    """A table k_<algorithm> of doc_id, i, p: the power iteration, a step of which is a step of the recursion, until a document's scores settle."""
+    both = lambda e: f"SELECT doc_id, i, j, sim FROM {e} UNION ALL SELECT doc_id, j, i, sim FROM {e}"
+    a = algorithm
+    pairs = lambda few, sim: f"SELECT a.doc_id, a.sent_idx AS i, b.sent_idx AS j, {sim} AS sim FROM {few} a JOIN {few} b ON a.doc_id = b.doc_id AND a.word = b.word AND a.sent_idx < b.sent_idx GROUP BY 1, 2, 3"
+    few = f"d_{a} AS (SELECT DISTINCT doc_id, sent_idx, n_words, word FROM w{' WHERE n_words > 1' if a == 'textrank' else ''})"
+    edges = {
+        "lexrank": f"{_T}, {_I}, {_E}, f_lexrank AS ({both('e')} UNION ALL SELECT doc_id, sent_idx, sent_idx, 1.0 FROM m)",
+        "textrank": f"{few}, e_textrank AS ({pairs('d_textrank', 'count(*) / (ln(any_value(a.n_words)) + ln(any_value(b.n_words)))')}), f_textrank AS ({both('e_textrank')})",
+        "graph": f"{few}, e_graph AS ({pairs('d_graph', 'CAST(count(*) AS DOUBLE)')}), f_graph AS ({both('e_graph')})",
+    }[a]
+    damped = "q" if a == "lexrank" else f"{1 - rank.DAMPING!r} / n + {rank.DAMPING!r} * q"
+    return f"""{edges}, u_{a} AS (SELECT doc_id, i, sum(sim) AS total FROM f_{a} GROUP BY ALL), g_{a} AS (SELECT doc_id, i, j, sim / total AS share FROM f_{a} JOIN u_{a} USING (doc_id, i)),
+o_{a} AS (SELECT s.doc_id, sent_idx AS i, count(*) OVER (PARTITION BY s.doc_id) AS n, total IS NULL AS lone FROM s LEFT JOIN u_{a} u ON u.doc_id = s.doc_id AND u.i = sent_idx),
+r_{a} AS (SELECT doc_id, i, n, lone, 1.0::DOUBLE / n AS p, 0 AS step, 9.0::DOUBLE AS moved FROM o_{a} UNION ALL
+  SELECT doc_id, i, n, lone, q, step + 1, sum(abs(q - p)) OVER (PARTITION BY doc_id) FROM (SELECT doc_id, i, n, lone, p, step, {damped} AS q FROM (
+    SELECT z.doc_id, z.i, z.n, z.lone, z.p, z.step, coalesce(x.x, 0) + sum(CASE WHEN lone THEN p ELSE 0 END) OVER (PARTITION BY z.doc_id) / n AS q FROM r_{a} z
+    LEFT JOIN (SELECT y.doc_id, g.j, sum(y.p * g.share) AS x FROM r_{a} y JOIN g_{a} g ON g.doc_id = y.doc_id AND g.i = y.i GROUP BY ALL) x ON x.doc_id = z.doc_id AND x.j = z.i
+    WHERE z.moved >= {rank.EPSILON!r} AND z.step < {rank.STEPS}))),
+k_{a} AS (SELECT doc_id, i, p FROM r_{a} QUALIFY step = max(step) OVER (PARTITION BY doc_id))"""
+
+
+_PLACE = f"CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(p, {rank.DIGITS}) DESC, i) AS INTEGER) AS rank"
+
+
+def _scores_sql(algorithm: str) -> str:
+    return f"WITH RECURSIVE {_S}, {_W}, {_ranked(algorithm)} SELECT doc_id, i AS sent_idx, round(p, 9) AS score, {_PLACE} FROM k_{algorithm}"
+
+
 # Tokenization
 
 
@@ -146,27 +176,36 @@ def _scores(spark, sf_dir, algorithm):
     return ranked.select("doc_id", F.posexplode(both).alias("sent_idx", "x")).select("doc_id", "sent_idx", F.round("x.score", 9).alias("score"), "x.rank")
 
 
-@query()
+@query(_scores_sql("lexrank"))
 def lexrank_scores(spark, sf_dir):
     return _scores(spark, sf_dir, "lexrank")
 
 
-@query()
+@query(_scores_sql("textrank"))
 def textrank_scores(spark, sf_dir):
     return _scores(spark, sf_dir, "textrank")
 
 
-@query()
+@query(_scores_sql("graph"))
 def graph_scores(spark, sf_dir):
     return _scores(spark, sf_dir, "graph")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_S}, {_W}, {_ranked('lexrank')}, {_ranked('textrank')}, k AS (SELECT doc_id, i, (a.p + b.p) / 2 AS p FROM k_lexrank a JOIN k_textrank b USING (doc_id, i)) "
+    f"SELECT doc_id, i AS sent_idx, round(p, 9) AS score, {_PLACE} FROM k"
+)
 def ensemble_scores(spark, sf_dir):
     return _scores(spark, sf_dir, "ensemble")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_S}, {_W}, {_ranked('lexrank')}, b AS (SELECT doc_id, i, {_PLACE} FROM k_lexrank), "
+    "c AS (SELECT s.doc_id, string_agg(sentence, ' ' ORDER BY sent_idx) AS summary FROM s JOIN b ON b.doc_id = s.doc_id AND b.i = sent_idx WHERE rank <= 5 GROUP BY s.doc_id), "
+    "o AS (SELECT doc_id, coalesce(summary, '') AS summary, octet_length(encode(coalesce(text, ''))) // 4 AS n FROM documents LEFT JOIN c USING (doc_id)), "
+    "q AS (SELECT *, octet_length(encode(summary)) // 4 AS m FROM o) "
+    "SELECT doc_id, summary, CAST(n AS INTEGER) AS tokens_in, CAST(m AS INTEGER) AS tokens_out, CAST(CASE WHEN n > 0 THEN 100 - m * 100 // n ELSE 0 END AS INTEGER) AS reduction FROM q"
+)
 def lexrank_summary(spark, sf_dir):
     return spread(docs_of(spark, sf_dir)).select("doc_id", rank.summarize("text").alias("s")).select("doc_id", "s.*")
 

@@ -51,9 +51,9 @@ def brute_cosine(words):
 
 
 def test_kernels():
-    sim, want = rank.idf_cosine(WORDS)[0], brute_cosine(WORDS)
+    sim, want = rank.similarity_matrix(WORDS), brute_cosine(WORDS)
     assert all(abs(sim[i][j] - want[i][j]) < 1e-12 for i in range(5) for j in range(5))
-    lap = rank.overlap(WORDS)
+    lap = rank.similarity_matrix(WORDS, "textrank")
     assert abs(lap[0][1] - 2 / (math.log(3) + math.log(4))) < 1e-12 and lap[0][0] == lap[0][3] == 0
     for a in rank.ALGORITHMS:
         r = rank.rank(WORDS, a)
@@ -63,6 +63,41 @@ def test_kernels():
     assert rank.places(rank.np.array([0.1, 0.5, 0.5, 0.2])).tolist() == [4, 1, 2, 3]
 
 
+def test_kernels_against_matrices(monkeypatch):
+    """Scores from postings are those of a power iteration over the whole matrix; also with terms in several stretches."""
+    monkeypatch.setattr(rank.Overlap, "ROOM", 50)
+    rng = rank.np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(1, 25))
+        words = [[f"w{int(rng.zipf(1.6)) % 40}" for _ in range(rng.integers(0, 9))] for _ in range(n)]
+        for algorithm, damping in (("lexrank", None), ("textrank", 0.85), ("graph", 0.85)):
+            m = rank.similarity_matrix(words, algorithm)
+            rows = [r / r.sum() if r.sum() > 1e-12 else rank.np.full(n, 1 / n) for r in m]
+            p = rank.np.full(n, 1 / n)
+            for _ in range(rank.STEPS):
+                q = p @ rows if damping is None else (1 - damping) / n + damping * (p @ rows)
+                p, moved = q, abs(q - p).sum()
+                if moved < rank.EPSILON:
+                    break
+            assert abs(rank.rank(words, algorithm)["scores"] - p).max() < 1e-9
+        lap = rank.similarity_matrix(words, "textrank")
+        r = rank.rank(words, "textrank")
+        assert (r["sim_nonzero"], round(r["sim_max"], 9)) == (int((lap > 1e-12).sum()), round(float(lap.max(initial=0)), 9))
+
+
+def test_ranking_of_a_very_long_text():
+    """50,000 sentences: memory for the words, not for pairs."""
+    import tracemalloc
+
+    rng = rank.np.random.default_rng(1)
+    words = [[f"w{int(k) % 30000}" for k in rng.zipf(1.4, rng.integers(3, 12))] for _ in range(50_000)]
+    tracemalloc.start()
+    for a in rank.ALGORITHMS:
+        assert abs(rank.rank(words, a, False)["scores"].sum() - 1) < 1e-6
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
 def test_hub_sentence_wins(spark):
     t = "Cats chase mice. Dogs chase cats and mice and birds. Birds fear cats. Mice fear dogs. Trees are green."
     assert one(spark, t, lambda c: rank.summary_sentences(c, "graph", 1)) == ["Dogs chase cats and mice and birds."]
