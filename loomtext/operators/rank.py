@@ -231,6 +231,13 @@ def summarize(text, algorithm: str = "lexrank", n: int = 5) -> Column:
     return F.struct(summary.alias("summary"), before.alias("tokens_in"), after.alias("tokens_out"), reduction(before, after).alias("reduction"))
 
 
+def explained(text, algorithm: str = "lexrank", n: int = 5) -> tuple[Column, str | None]:
+    """(explain's struct, no note), or for an algorithm that doesn't explain itself the summary alone and a note that says so."""
+    if algorithm in ("lexrank", "textrank"):
+        return explain(text, algorithm, n), None
+    return summary_sentences(text, algorithm, n), f'note: explain not supported for algorithm "{algorithm}"; running without diagnostics'
+
+
 def explain(text, algorithm: str = "lexrank", n: int = 5) -> Column:
     """Everything a report says: counts, statistics, and each sentence with score, rank and whether it was selected."""
     if algorithm not in ("lexrank", "textrank"):

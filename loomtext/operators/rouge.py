@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import vectorised
 from ..functions.patterns import let
-from ..functions.text import words
+from ..functions.text import sentences, words
 
 
 def _prf(hits: Column, n_system: Column, n_reference: Column) -> Column:
@@ -74,6 +74,12 @@ def rouge(system: Column, reference: Column) -> Column:
     return F.struct(rouge_n(a, b, 1).alias("rouge1"), rouge_n(a, b, 2).alias("rouge2"), _prf(lcs(a, b).cast("double"), F.size(a), F.size(b)).alias("rougel"))
 
 
+def paired(systems: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """key, rouge1, rouge2, rougel of the texts of equal key in both tables (columns key, text): a document against the summary that somebody wrote of it."""
+    s, r = systems.select(key, sentences("text").alias("_s")), references.select(key, sentences("text").alias("_r"))
+    return s.join(r, key).select(key, rouge(F.col("_s"), F.col("_r")).alias("x")).select(key, "x.*")
+
+
 def report(r: Column) -> Column:
     line = lambda name, x: F.format_string(f"{name}: P=%.4f R=%.4f F1=%.4f", x["precision"], x["recall"], x["f1"])
     return F.concat_ws("\n", line("ROUGE-1", r["rouge1"]), line("ROUGE-2", r["rouge2"]), line("ROUGE-L", r["rougel"]))

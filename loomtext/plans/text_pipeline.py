@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import detect, pii, sanitize
 from ..functions.output import collected
 from ..operators.rank import outlier_scores, summarize
-from ..functions.text import excerpt, sentence_words, sentences
+from ..functions.text import SENTENCE_CAP, capped, excerpt, sentence_words, sentences
 
+# Fixed value
 SUSPICIOUS = "injection-detect: WARNING -- input flagged as suspicious"
-#: Severity of kinds of findings, for display.
-SEVERITY = {"pattern": "high", "encoding": "medium", "outlier": "medium", "pii": "high", "sanitized": "low"}
 
 
 def _apart(df: DataFrame) -> DataFrame:
@@ -23,10 +22,10 @@ def _apart(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def run(docs: DataFrame, text_col: str = "text", *, clean: bool = False, redact_pii: bool = False, detect_pii: bool = False, algorithm: str = "lexrank", n: int = 5) -> DataFrame:
+def run(docs: DataFrame, text_col: str = "text", *, clean: bool = False, redact_pii: bool = False, detect_pii: bool = False, algorithm: str = "lexrank", n: int = 5, cap: int | None = SENTENCE_CAP) -> DataFrame:
     """The columns of docs and `result`: summary, tokens_in, tokens_out, reduction, warnings, invisibles_removed, pii_redactions, pii_findings.
 
-    Stages work on what the one before left. Detection never changes the text.
+    Stages work on what the one before left. Detection never changes the text. Of a text of more than cap sentences the first ones are summarized; cap=None lifts that.
     """
     found = docs.withColumn("_invisible", F.size(sanitize.report_invisibles(text_col)) if clean else F.lit(0))
     found = found.withColumn("_text", sanitize.sanitize(text_col) if clean else F.coalesce(F.col(text_col), F.lit("")))
@@ -41,7 +40,9 @@ def run(docs: DataFrame, text_col: str = "text", *, clean: bool = False, redact_
         found = found.withColumn("_pii", F.array().cast(report)).withColumn("_n", F.lit(0))
     warnings = F.when(detect.analyze("_text")["suspicious"], F.array(F.lit(SUSPICIOUS))).otherwise(F.array().cast("array<string>"))
     found = found.select(*docs.columns, "_text", "_invisible", "_pii", "_n", warnings.alias("_warnings"))
-    found = (_apart(found) if redact_pii or detect_pii else found).withColumn("_s", summarize("_text", algorithm, n))
+    if cap is not None:
+        found = found.withColumn("_text", capped("_text", cap))
+    found = _apart(found).withColumn("_s", summarize("_text", algorithm, n))
     result = F.struct(
         F.col("_s.summary"), F.col("_s.tokens_in"), F.col("_s.tokens_out"), F.col("_s.reduction"), F.col("_warnings").alias("warnings"),
         F.col("_invisible").alias("invisibles_removed"), F.col("_n").alias("pii_redactions"), F.col("_pii").alias("pii_findings"),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import detect, output, pii, sanitize, text
 from .operators import htmlmd, rank, rouge, similarity
-from .plans import text_pipeline
-from .sources import surfaces, usage
+from .plans import screening, text_pipeline
+from .sources import inputs, surfaces, usage
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -289,7 +289,21 @@ def pii_counts_by_type(spark, sf_dir):
     return pii_findings(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query()
+def _spans() -> str:
+    """All spans of personal data and secrets in characters; then those kept, from the first on the next one that starts at or after the end: least start, longest, first pattern."""
+    patterns = [*pii.PATTERNS, ("secret", detect.BASE64)]
+    chars = lambda a, n: f"coalesce(list_sum(list_transform({a}[1:{n}], lambda y: length(y))), 0)"
+    return f"""{_P}, {_find('p', patterns, False)}, x AS (SELECT *, {_ENTROPY} AS bits FROM f),
+ok AS (SELECT doc_id, k, pattern, raw, CAST({chars('g', 'i')} + {chars('m', '(i - 1)')} AS INTEGER) AS start FROM x
+  WHERE CASE pattern WHEN 'credit-card' THEN length(regexp_replace(raw, '[^0-9]', '', 'g')) BETWEEN 13 AND 16 AND {_LUHN} WHEN 'secret' THEN length(rtrim(raw, '=')) % 4 <> 1 AND bits > 4.5 ELSE true END),
+sp AS (SELECT doc_id, pattern, start, start + length(raw) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY start, -length(raw), k) AS o FROM ok),
+kept AS (SELECT doc_id, pattern, start, stop, o FROM sp WHERE o = 1 UNION ALL
+  SELECT doc_id, pattern, start, stop, o FROM (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.o) AS n FROM kept l JOIN sp s ON s.doc_id = l.doc_id AND s.o > l.o AND s.start >= l.stop) WHERE n = 1),
+cut AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY o), 0) AS last FROM kept),
+made AS (SELECT doc_id, string_agg(substring(text, last + 1, start - last) || '[REDACTED:' || pattern || ']', '' ORDER BY o) AS body, max(stop) AS stop, count(*) AS n FROM cut JOIN p USING (doc_id) GROUP BY doc_id)"""
+
+
+@query(f"WITH RECURSIVE {_spans()} SELECT doc_id, CASE WHEN n IS NULL THEN text ELSE body || substring(text, stop + 1) END AS text, CAST(coalesce(n, 0) AS INTEGER) AS redactions FROM p LEFT JOIN made USING (doc_id)")
 def pii_redacted(spark, sf_dir):
     r = planted(spark, sf_dir).select("doc_id", pii.redact("text").alias("r"))
     return r.select("doc_id", "r.text", F.size("r.findings").alias("redactions"))
@@ -316,6 +330,38 @@ def invisible_report(spark, sf_dir):
     return planted(spark, sf_dir).select("doc_id", F.explode(sanitize.report_invisibles("text")).alias("r")).select("doc_id", "r.codepoint", "r.offset")
 
 
+@query(
+    f"WITH {_P}, {_find('p', [('', _INVISIBLE)], False)}, c AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS removed_count, "
+    "'sanitize: removed ' || n || ' invisible codepoint(s)' AS line FROM p LEFT JOIN c USING (doc_id)"
+)
+def sanitize_reports(spark, sf_dir):
+    return planted(spark, sf_dir).select("doc_id", screening.sanitize_report("text").alias("r")).select("doc_id", "r.removed_count", "r.line")
+
+
+@query(f"{_PII} SELECT doc_id // 1000000 AS doc_id, 'pii' AS type, 'high' AS severity, pattern || ': ' || CASE WHEN length(raw) > 12 THEN left(raw, 12) || '...' ELSE raw END || ' (line ' || doc_id % 1000000 || ')' AS message FROM ok")
+def pii_alerts(spark, sf_dir):
+    return planted(spark, sf_dir).select("doc_id", F.explode(screening.alerts(None, pii.findings("text"), None)).alias("a")).select("doc_id", "a.*")
+
+
+@query()
+def detect_alerts(spark, sf_dir):
+    r = planted(spark, sf_dir).withColumn("r", detect.analyze("text"))
+    return r.select("doc_id", F.explode(screening.alerts(F.col("r"), pii.findings("text"), F.size(sanitize.report_invisibles("text")))).alias("a")).select("doc_id", "a.*")
+
+
+@query()
+def detect_only(spark, sf_dir):
+    return screening.detect_only(planted(spark, sf_dir)).select("doc_id", "diagnostics")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'binary_nul' WHEN doc_id % 4 = 2 THEN 'binary_utf8' WHEN doc_id % 4 = 3 OR trim(coalesce(text, ''), " + _CHARS + ") = '' THEN 'empty' ELSE 'ok' END AS status FROM documents")
+def input_statuses(spark, sf_dir):
+    """Texts as they are, with a NUL at the end, with a byte that isn't UTF-8, and white space only."""
+    raw, kind = F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("doc_id") % 4
+    content = F.when(kind == 1, F.concat(raw, F.lit(b"\x00"))).when(kind == 2, F.concat(raw, F.lit(b"\xff"))).when(kind == 3, F.lit(b" \n\t")).otherwise(raw)
+    return docs_of(spark, sf_dir).select("doc_id", inputs.input_status(content).alias("status"))
+
+
 @query()
 def nfkc_text(spark, sf_dir):
     return planted(spark, sf_dir).select("doc_id", sanitize.sanitize("text").alias("text"))
@@ -390,6 +436,19 @@ def rouge_l(spark, sf_dir):
     return r.select("doc_id", "r.rougel.*")
 
 
+def _paired_sql() -> str:
+    sql = _rouge_sql(1, (0, 2**31 - 1)).replace("sent_idx BETWEEN 0 AND 2)", "true)", 1)
+    return sql.replace(", ga AS", ", b1 AS (SELECT doc_id - 1 AS doc_id, ws FROM b), ga AS", 1).replace("FROM b) GROUP BY ALL)", "FROM b1) GROUP BY ALL)", 1).replace("LEFT JOIN b USING", "LEFT JOIN b1 AS b USING", 1).replace("FROM documents LEFT JOIN a", "FROM (SELECT doc_id FROM documents SEMI JOIN (SELECT doc_id - 1 AS doc_id FROM documents) USING (doc_id)) LEFT JOIN a", 1)
+
+
+@query(_paired_sql())
+def rouge_pairs(spark, sf_dir):
+    """Each document against a reference of its own: the text of the next number."""
+    d = docs_of(spark, sf_dir)
+    r = rouge.paired(spread(d), spread(d).withColumn("doc_id", F.col("doc_id") - 1), "doc_id")
+    return r.select("doc_id", *(F.round(f"rouge1.{c}", 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
 # Pages
 
 
@@ -402,6 +461,44 @@ def html_comments(spark, sf_dir):
     return surfaces.surface_table(pages_of(spark, sf_dir), surfaces.html_surfaces("html"), "page_id").where("source = 'html:comment'").select("page_id", "text")
 
 
+def planted_pages(spark, sf_dir):
+    line = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("page_id") % len(PLANTED)).cast("int") + 1)
+    return pages_of(spark, sf_dir).withColumn("html", F.concat("html", F.lit("<!-- "), line, F.lit(" -->")))
+
+
+def _screened(spark, sf_dir):
+    return screening.surface_findings(surfaces.surface_table(planted_pages(spark, sf_dir), surfaces.html_surfaces("html"), "page_id"), "page_id")
+
+
+_COMMENTS = (
+    f"h AS (SELECT page_id, html || '<!-- ' || CASE page_id % {len(PLANTED)} " + " ".join(f"WHEN {k} THEN {_line(x)}" for k, x in enumerate(PLANTED)) + " END || ' -->' AS html FROM pages), "
+    f"c AS (SELECT page_id AS doc_id, trim(unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)), {_CHARS}) AS text FROM h)"
+)
+
+
+@query(f"WITH {_COMMENTS}, {_find('c', detect.INJECTION)} SELECT doc_id AS page_id, pattern, score, pos AS \"offset\", {_EXCERPT} AS excerpt FROM f")
+def comment_findings(spark, sf_dir):
+    """Injection phrases in comments, which a reader of the page doesn't see."""
+    found = _screened(spark, sf_dir).where("source = 'html:comment'").select("page_id", F.explode("findings").alias("f")).where("f.category = 'pattern'")
+    return found.select("page_id", "f.pattern", "f.score", "f.offset", "f.excerpt")
+
+
+@query()
+def surface_findings(spark, sf_dir):
+    return _screened(spark, sf_dir).drop("findings")
+
+
+@query()
+def surface_reports(spark, sf_dir):
+    return screening.surface_report(_screened(spark, sf_dir), "page_id")
+
+
+@query()
+def html_conversion_figures(spark, sf_dir):
+    made = text_pipeline._apart(pages_of(spark, sf_dir).select("page_id", "html", htmlmd.markdown(F.col("html")).alias("markdown")))
+    return made.select("page_id", screening.conversion_figures(F.col("html"), F.col("markdown")).alias("x")).select("page_id", "x.*")
+
+
 @query()
 def html_surfaces(spark, sf_dir):
     return surfaces.surface_table(pages_of(spark, sf_dir), surfaces.html_surfaces("html"), "page_id")
@@ -435,6 +532,32 @@ def usage_daily(spark, sf_dir):
     return usage.daily(usage_of(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
 
 
+_SHOWN = "(CAST(round(percent, 1) AS DECIMAL(9, 1)) || '%')"
+
+
+@query(
+    f"WITH {_USAGE}, t AS (SELECT {_SUMS} FROM u) SELECT rpad('invocations:', 15, ' ') || count || chr(10) || rpad('tokens in:', 15, ' ') || \"in\" || chr(10) || rpad('tokens out:', 15, ' ') || \"out\" || chr(10) "
+    f"|| rpad('tokens saved:', 15, ' ') || saved || chr(10) || rpad('reduction:', 15, ' ') || {_SHOWN} || chr(10) AS text FROM t"
+)
+def usage_report(spark, sf_dir):
+    return usage.totals_text(usage.totals(usage_of(spark, sf_dir)))
+
+
+@query(
+    f"WITH {_USAGE}, t AS (SELECT left(ts, 10) AS date, {_SUMS} FROM u GROUP BY 1), "
+    f"r AS (SELECT date, [date, CAST(count AS VARCHAR), CAST(\"in\" AS VARCHAR), CAST(\"out\" AS VARCHAR), CAST(saved AS VARCHAR), {_SHOWN}] AS c FROM t UNION ALL SELECT '', ['date', 'invocations', 'in', 'out', 'saved', 'reduction']), "
+    "w AS (SELECT max(length(c[1])) + 2 AS a, max(length(c[2])) + 2 AS b, max(length(c[3])) + 2 AS d, max(length(c[4])) + 2 AS e, max(length(c[5])) + 2 AS f FROM r) "
+    "SELECT string_agg(rpad(c[1], CAST(a AS INT), ' ') || rpad(c[2], CAST(b AS INT), ' ') || rpad(c[3], CAST(d AS INT), ' ') || rpad(c[4], CAST(e AS INT), ' ') || rpad(c[5], CAST(f AS INT), ' ') || c[6] || chr(10), '' ORDER BY date) AS text FROM r, w"
+)
+def usage_daily_table(spark, sf_dir):
+    return usage.daily_table(usage.daily(usage_of(spark, sf_dir)))
+
+
+@query()
+def usage_json(spark, sf_dir):
+    return usage.as_json(usage.daily(usage_of(spark, sf_dir)), many=True)
+
+
 @query(f"WITH {_S} SELECT doc_id, array_to_string(ss, chr(10)) AS plain, '<!-- loomtext | algorithm: lead | sentences: ' || len(ss) || ' | compression: 95% -->' || chr(10) || array_to_string(list_transform(ss, lambda x: '> ' || x || chr(10)), '>' || chr(10)) AS markdown FROM s0")
 def format_outputs(spark, sf_dir):
     s = text.sentences("text")
@@ -450,7 +573,18 @@ def format_paragraphs(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", output.paragraphs(text.sentences("text"), 3).alias("paragraphs"))
 
 
-@query()
+_ESCAPED = "replace(replace(replace(CAST(to_json(sentence) AS VARCHAR), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
+_FIELDS = {"algorithm": "'\"lexrank\"'", "sentences_in": "n", "sentences_out": "coalesce(k, 0)", "chars_in": "a", "chars_out": "b", "tokens_estimated_in": "a // 4", "tokens_estimated_out": "b // 4", "compression_ratio": "CASE WHEN z = floor(z) THEN CAST(CAST(z AS BIGINT) AS VARCHAR) ELSE CAST(z AS VARCHAR) END"}
+
+
+@query(
+    f"WITH RECURSIVE {_S}, {_W}, {_ranked('lexrank')}, b AS (SELECT doc_id, i, {_PLACE} FROM k_lexrank), "
+    f"c AS (SELECT s.doc_id, count(*) AS k, string_agg('    ' || {_ESCAPED}, ',' || chr(10) ORDER BY sent_idx) AS listed, octet_length(encode(string_agg(sentence, ' '))) AS b FROM s JOIN b ON b.doc_id = s.doc_id AND b.i = sent_idx WHERE rank <= 5 GROUP BY s.doc_id), "
+    "o AS (SELECT doc_id, k, listed, coalesce(b, 0) AS b, octet_length(encode(coalesce(text, ''))) AS a, len(ss) AS n FROM documents JOIN s0 USING (doc_id) LEFT JOIN c USING (doc_id)), q AS (SELECT *, (a // 4 - b // 4) / (a // 4 + 1) AS z FROM o) "
+    "SELECT doc_id, '{' || chr(10) || '  \"summary\": ' || coalesce('[' || chr(10) || listed || chr(10) || '  ]', '[]') || "
+    + " || ".join(f"',' || chr(10) || '  \"{k}\": ' || {v}" for k, v in _FIELDS.items())
+    + " || chr(10) || '}' AS json FROM q"
+)
 def format_json(spark, sf_dir):
     d = spread(docs_of(spark, sf_dir)).withColumn("n", F.size(text.sentences("text"))).withColumn("ss", rank.summary_sentences("text"))
     after = F.octet_length(F.concat_ws(" ", "ss"))

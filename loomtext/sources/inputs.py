@@ -26,7 +26,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def input_status(content: Column) -> Column:
     """Of binary content: binary_nul, binary_utf8, empty or ok."""
     text = F.try_validate_utf8(content.cast("string"))
-    nul = F.hex(F.coalesce(content, F.lit(b""))).rlike("^(?:..)*?00")
+    nul = F.coalesce(F.contains(content, F.lit(b"\x00")), F.lit(False))
     return F.when(nul, "binary_nul").when(content.isNotNull() & text.isNull(), "binary_utf8").when(trim(F.coalesce(text, F.lit(""))) == "", "empty").otherwise("ok")
 
 
