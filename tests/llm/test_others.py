@@ -15,11 +15,13 @@ from loomtext.llm.common import durable
 from .data import SMALL, documents, empty, odd
 
 
-def test_top_k_against_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW embeddings AS FROM '{SMALL}/embeddings.parquet'")
-    want = c.execute(queries.SQL["op8_exact_top_k"]).fetchall()
-    assert sorted(map(tuple, queries.op8_exact_top_k(spark, SMALL).collect())) == sorted(want)
+    for t in ("documents", "embeddings", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS FROM '{SMALL}/{t}.parquet'")
+    found = queries.Q[name](spark, SMALL)
+    assert sorted(map(tuple, found.collect())) == sorted(c.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL[name]})").fetchall())
 
 
 def test_top_k_odd_rows(spark):
@@ -162,13 +164,6 @@ def test_chat_windows(spark, monkeypatch, number, count, words, system, budget,
     assert found == want and all(t <= budget or (n == 1 and not r) for r, n, t, _ in found)
 
 
-def test_chat_against_sql(spark):
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW conversations AS FROM '{SMALL}/conversations.parquet'")
-    found = queries.op10_chat_formatting(spark, SMALL)
-    assert sorted(map(tuple, found.collect())) == sorted(c.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL['op10_chat_formatting']})").fetchall())
-
-
 def test_chat_empty(spark):
     assert chat.chat_digests(chat.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
