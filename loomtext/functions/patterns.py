@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = "[0-9A-Za-z_]"
+_WORD = "(?-i:[0-9A-Za-z_])"
 _EDGE = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+#: One character that is a word character whatever it is; an atom of such characters, not to be left out.
+_ONE = r"(?:\\[dw]|[0-9A-Za-z_]|\[(?:[0-9A-Za-z](?:-[0-9A-Za-z])?|_)+\])"
+_KEPT = r"(?![*?]|\{0)"
+_CASES = rf"\(\?:{_ONE}{_KEPT}[^()|]*(?:\|{_ONE}{_KEPT}[^()|]*)*\){_KEPT}"  # a group whose every case starts with one
+_OPENS, _CLOSES = re.compile(rf"{_ONE}{_KEPT}|{_CASES}"), re.compile(rf"{_ONE}(?:\+|\{{[1-9][0-9]*,?[0-9]*\}})?\Z")
+
+
+def _edge(pattern: str, at: int) -> str:
+    """The edge \\b at a place: half of it where a word character is sure to stand beside it. Folding takes k and s beyond ASCII, so they aren't sure with (?i)."""
+    sure = lambda m: m and not ("(?i)" in pattern and re.search(r"[ksKS-]", m[0]))
+    if sure(_OPENS.match(pattern, at + 2)):
+        return rf"(?<!{_WORD})"
+    return rf"(?!{_WORD})" if sure(_CLOSES.search(pattern[:at])) else _EDGE
+
+
 def java(pattern: str) -> str:
     """Ask Java for ASCII white space and word edges, Unicode case folding, and line feeds as the only line ends."""
     out, k, in_class = "", 0, False
@@ -17,7 +34,7 @@ def java(pattern: str) -> str:
         if pair == r"\s":
             out += r"\t\n\f\r " if in_class else r"[\t\n\f\r ]"
         elif pair == r"\b" and not in_class:
-            out += _EDGE
+            out += _edge(pattern, k)
         elif pair[0] == "\\":
             out += pair
         else:
@@ -53,12 +70,17 @@ def _upto(sizes: Column) -> Column:
     return let(F.struct(sizes.alias("sizes"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes))).cast("int")).alias("width")), of)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def holds(text: Column, pattern: str, needs: str = "") -> Column:
+    """Whether there is a match. needs: a string that every match has; a text without it isn't searched."""
+    return F.contains(text, F.lit(needs)) & text.rlike(pattern) if needs else text.rlike(pattern)
+
+
+def matches(text: Column, pattern: str, needs: str = "") -> Column:
     """array<struct<at: first byte, start: first character, raw>> of the leftmost non-overlapping matches.
 
     Matches and the gaps between them are two arrays; a match starts after all gaps up to it and all matches before it.
     """
-    re = F.lit(pattern)
+    regex = F.lit(pattern)
 
     def placed(z):
         def step(i):
@@ -68,8 +90,8 @@ def matches(text: Column, pattern: str) -> Column:
         steps = F.transform(z["found"], lambda x, i: step(i))
         return F.zip_with(z["found"], _upto(steps), lambda x, s: F.struct(s["at"].alias("at"), s["start"].alias("start"), x.alias("raw")))
 
-    both = F.struct(F.regexp_extract_all(text, re, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(text.rlike(pattern), let(both, placed)).otherwise(F.array().cast("array<struct<at:int,start:int,raw:string>>"))
+    both = F.struct(F.regexp_extract_all(text, regex, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(holds(text, pattern, needs), let(both, placed)).otherwise(F.array().cast("array<struct<at:int,start:int,raw:string>>"))
 
 
 def entropy(token: Column) -> Column:

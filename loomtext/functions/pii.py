@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .detect import _text, finding, high_entropy_base64, none
-from .patterns import java, let, matches
+from .detect import FINDING, _text, finding, high_entropy_base64
+from .patterns import holds, java, let, matches
 from .text import excerpt
 
 # Name and expression, in order of report; the block of a private key is the one that spans lines.
@@ -16,6 +19,8 @@ PATTERNS = [
     ("private-key", r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----"), ("jwt", r"\b[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\b"),
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"), ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"), ("credit-card", r"\b(?:\d[ \-]?){12,15}\d\b"),
 ]
+#: For each of them, a string that every match has.
+NEEDS = ("Bearer", "sk-", "AIza", "AKIA", "gh", "github_pat_", "x", "PRIVATE KEY-----", ".", "@", "-", "")
 MULTILINE, CHECKED = "private-key", "credit-card"
 SCORE = 0.95
 
@@ -26,9 +31,9 @@ def luhn_valid(text) -> Column:
     return F.coalesce(F.length(digits).between(13, 16) & F.call_function("luhn_check", digits), F.lit(False))
 
 
-def _found(text: Column, name: str, re: str) -> Column:
+def _found(text: Column, name: str, re: str, needs: str) -> Column:
     """A match that fails its check is dropped, having taken its text."""
-    m = matches(text, java(re))
+    m = matches(text, java(re), needs)
     return F.filter(m, lambda x: luhn_valid(x["raw"])) if name == CHECKED else m
 
 
@@ -43,19 +48,20 @@ def findings(text) -> Column:
     c = _text(text)
 
     def of_line(line, k):
-        def of_pattern(name, re):
-            return F.transform(_found(line, name, re), lambda m: finding("pii", m["at"], SCORE, name, excerpt(m["raw"], 12, "..."), k + 1))
+        def of_pattern(name, re, needs):
+            return F.transform(_found(line, name, re, needs), lambda m: finding("pii", m["at"], SCORE, name, excerpt(m["raw"], 12, "..."), k + 1))
 
-        return F.concat(*[of_pattern(n, re) for n, re in PATTERNS if n != MULTILINE])
+        return F.concat(*[of_pattern(n, re, needs) for (n, re), needs in zip(PATTERNS, NEEDS, strict=True) if n != MULTILINE])
 
-    any_line = "|".join(f"(?:{java(re)})" for n, re in PATTERNS if n != MULTILINE)
-    lines = F.transform(F.split(c, "\n", -1), lambda line, k: F.when(line.rlike(any_line), of_line(line, k)).otherwise(none()))
+    # a line's match is one of the text, so most texts are searched once and not line by line
+    some = reduce(or_, [holds(c, java(re), needs) for (n, re), needs in zip(PATTERNS, NEEDS, strict=True) if n != MULTILINE])
+    lines = F.when(some, F.transform(F.split(c, "\n", -1), of_line)).otherwise(F.array().cast(f"array<array<{FINDING}>>"))
 
     def block(m):
         line, at = _place(c, m["start"])
         return finding("pii", at, SCORE, MULTILINE, excerpt(m["raw"], 12, "..."), line)
 
-    return F.concat(F.flatten(lines), *(F.transform(matches(c, java(re)), block) for n, re in PATTERNS if n == MULTILINE))
+    return F.concat(F.flatten(lines), *(F.transform(matches(c, java(re), needs), block) for (n, re), needs in zip(PATTERNS, NEEDS, strict=True) if n == MULTILINE))
 
 
 def redact(text) -> Column:
@@ -64,7 +70,7 @@ def redact(text) -> Column:
     High-entropy base64 counts as `secret`.
     """
     c = _text(text)
-    named = [*((n, _found(c, n, re)) for n, re in PATTERNS), ("secret", high_entropy_base64(c))]
+    named = [*((n, _found(c, n, re, needs)) for (n, re), needs in zip(PATTERNS, NEEDS, strict=True)), ("secret", high_entropy_base64(c))]
 
     def spans_of(k, name, found):
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["start"] - F.length(x["raw"])).alias("back"), F.lit(k).alias("k"), F.lit(name).alias("name"), x["raw"].alias("raw")))

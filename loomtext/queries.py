@@ -34,19 +34,19 @@ def query(sql: str | None = None):
     return add
 
 
-def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """A small file is a task or two, and a kernel wants all cores: it is dealt out. A table of more tasks than cores is left as it is, so no corpus is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
 
 
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % len(PLANTED)).cast("int") + 1)
-    return spread(docs_of(spark, sf_dir)).select("doc_id", F.concat_ws("\n", "text", line).alias("text"))
+    return docs_of(spark, sf_dir).select("doc_id", F.concat_ws("\n", "text", line).alias("text"))
 
 
 def _q(s: str) -> str:
@@ -171,7 +171,7 @@ def outlier_findings(spark, sf_dir):
 
 def _scores(spark, sf_dir, algorithm):
     s = text.sentences("text")
-    ranked = spread(docs_of(spark, sf_dir)).withColumn("r", rank.ranking(text.sentence_words(s), algorithm))
+    ranked = docs_of(spark, sf_dir).withColumn("r", rank.ranking(text.sentence_words(s), algorithm))
     both = F.arrays_zip(F.col("r.scores").alias("score"), F.col("r.ranks").alias("rank"))
     return ranked.select("doc_id", F.posexplode(both).alias("sent_idx", "x")).select("doc_id", "sent_idx", F.round("x.score", 9).alias("score"), "x.rank")
 
@@ -207,12 +207,12 @@ def ensemble_scores(spark, sf_dir):
     "SELECT doc_id, summary, CAST(n AS INTEGER) AS tokens_in, CAST(m AS INTEGER) AS tokens_out, CAST(CASE WHEN n > 0 THEN 100 - m * 100 // n ELSE 0 END AS INTEGER) AS reduction FROM q"
 )
 def lexrank_summary(spark, sf_dir):
-    return spread(docs_of(spark, sf_dir)).select("doc_id", rank.summarize("text").alias("s")).select("doc_id", "s.*")
+    return docs_of(spark, sf_dir).select("doc_id", rank.summarize("text").alias("s")).select("doc_id", "s.*")
 
 
 @query()
 def explain_report(spark, sf_dir):
-    return spread(docs_of(spark, sf_dir)).select("doc_id", output.explain_report(rank.explain("text")).alias("report"))
+    return docs_of(spark, sf_dir).select("doc_id", output.explain_report(rank.explain("text")).alias("report"))
 
 
 # Screening
@@ -422,17 +422,17 @@ def rouge2(spark, sf_dir):
 
 @query(_rouge_sql(1, (0, 2**31 - 1)))
 def rouge1_whole(spark, sf_dir):
-    return _rouge(spread(_whole_sides(spark, sf_dir)), 1)
+    return _rouge(_whole_sides(spark, sf_dir), 1)
 
 
 @query(_rouge_sql(2, (0, 2**31 - 1)))
 def rouge2_whole(spark, sf_dir):
-    return _rouge(spread(_whole_sides(spark, sf_dir)), 2)
+    return _rouge(_whole_sides(spark, sf_dir), 2)
 
 
 @query()
 def rouge_l(spark, sf_dir):
-    r = spread(_whole_sides(spark, sf_dir)).select("doc_id", rouge.rouge(F.col("system"), F.col("reference")).alias("r"))
+    r = _whole_sides(spark, sf_dir).select("doc_id", rouge.rouge(F.col("system"), F.col("reference")).alias("r"))
     return r.select("doc_id", "r.rougel.*")
 
 
@@ -445,7 +445,7 @@ def _paired_sql() -> str:
 def rouge_pairs(spark, sf_dir):
     """Each document against a reference of its own: the text of the next number."""
     d = docs_of(spark, sf_dir)
-    r = rouge.paired(spread(d), spread(d).withColumn("doc_id", F.col("doc_id") - 1), "doc_id")
+    r = rouge.paired(d, d.withColumn("doc_id", F.col("doc_id") - 1), "doc_id")
     return r.select("doc_id", *(F.round(f"rouge1.{c}", 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
@@ -586,7 +586,7 @@ _FIELDS = {"algorithm": "'\"lexrank\"'", "sentences_in": "n", "sentences_out": "
     + " || chr(10) || '}' AS json FROM q"
 )
 def format_json(spark, sf_dir):
-    d = spread(docs_of(spark, sf_dir)).withColumn("n", F.size(text.sentences("text"))).withColumn("ss", rank.summary_sentences("text"))
+    d = docs_of(spark, sf_dir).withColumn("n", F.size(text.sentences("text"))).withColumn("ss", rank.summary_sentences("text"))
     after = F.octet_length(F.concat_ws(" ", "ss"))
     return d.select("doc_id", output.as_json(F.col("ss"), F.lit("lexrank"), F.col("n"), text.n_bytes("text"), after, text.tokens("text"), F.floor(after / 4).cast("int")).alias("json"))
 

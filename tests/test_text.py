@@ -440,3 +440,12 @@ def test_rouge_pairs(spark):
     docs, refs = (spark.createDataFrame(r, "k int, text string") for r in ([(1, "The cat sat. It ran."), (2, "Alone.")], [(1, "The cat ran."), (3, "Nobody.")]))
     r = rouge.paired(docs, refs, "k").collect()
     assert len(r) == 1 and r[0].k == 1 and abs(r[0].rouge1.recall - 1) < 1e-12 and abs(r[0].rouge1.precision - 3 / 5) < 1e-12 and abs(r[0].rougel.recall - 1) < 1e-12
+
+
+@pytest.mark.parametrize("pattern", [r"\bsk-[A-Za-z0-9_\-]{3,}\b", r"\b(?:xox[ab]|xapp)-[a-z-]{2,}\b", r"\b[0-9a-fA-F]{3,}\b", r"\b(?:\d[ \-]?){2,4}\d\b", r"\b[a-z_\-]{2,}\.[a-z_\-]{2,}\b", r"\b(?:ab|-c)x", r"\ba?b\b", r"(?i)\bDAN\b"])
+def test_edges_fuzz(spark, pattern):
+    """Half edges give what whole edges do."""
+    rng, al = rank.np.random.default_rng(len(pattern)), list("ab-_.xDAN 0f\nsk") + ["xox", "xapp", "sk-", "é", "ſ"]
+    texts = ["".join(rng.choice(al, rng.integers(0, 25))) for _ in range(1500)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(patterns.java(pattern)), F.lit(0))).collect()
+    assert [r[0] for r in got] == [[m[0] for m in re.finditer(pattern, t, re.ASCII)] for t in texts]
