@@ -243,17 +243,20 @@ def injection_findings(spark, sf_dir):
     return found.select("doc_id", "f.pattern", "f.score", "f.offset", "f.excerpt")
 
 
+_CONTROL = "'[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]'"
 _ENTROPY = "(SELECT entropy(c) FROM (SELECT unnest(string_split(raw, '')) AS c))"
 
 
 @query(
     f"WITH {_P}, {_find('p', [('base64', 0.75, detect.BASE64), ('hex-escape', 0.80, detect.HEX_ESCAPE), ('hex-string', 0.65, detect.HEX_STRING)])}, "
-    f"x AS (SELECT *, {_ENTROPY} AS bits FROM f) SELECT doc_id, pattern, score, pos AS \"offset\", {_EXCERPT} AS excerpt FROM x "
+    f"x AS (SELECT *, {_ENTROPY} AS bits FROM f), d AS (SELECT doc_id, len(regexp_extract_all(text, {_CONTROL})) AS n, n / length(text) AS density FROM p WHERE length(text) > 0) "
+    f"SELECT doc_id, 'ctrl-char-density' AS pattern, least(density * 50, 0.9::DOUBLE) AS score, -1 AS \"offset\", repeat('?', least(n, 10)) || ' (control chars)' AS excerpt FROM d WHERE density > {detect.CONTROL_DENSITY}::DOUBLE UNION ALL "
+    f"SELECT doc_id, pattern, score, pos AS \"offset\", {_EXCERPT} AS excerpt FROM x "
     "WHERE pattern = 'hex-escape' OR pattern = 'base64' AND length(rtrim(raw, '=')) % 4 <> 1 AND bits > 4.5 OR pattern = 'hex-string' AND length(raw) > 40 AND bits > 3.5"
 )
 def encoding_findings(spark, sf_dir):
     found = planted(spark, sf_dir).select("doc_id", F.explode(detect.encoding("text")).alias("f"))
-    return found.select("doc_id", "f.pattern", "f.score", "f.offset", "f.excerpt").where("pattern <> 'ctrl-char-density'")
+    return found.select("doc_id", "f.pattern", "f.score", "f.offset", "f.excerpt")
 
 
 @query(f"WITH {_P} SELECT doc_id, round(len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]')) / length(text), 9) AS density FROM p WHERE length(text) > 0")
@@ -325,9 +328,13 @@ def strip_invisible(spark, sf_dir):
     return planted(spark, sf_dir).select("doc_id", sanitize.strip_invisible("text").alias("text"))
 
 
-@query(f"WITH {_P}, {_find('p', [('', _INVISIBLE)], False)} SELECT doc_id, CAST(ord(raw) AS INTEGER) AS codepoint, pos AS \"offset\" FROM f")
+_NAMED = "CASE ord(raw) " + " ".join(f"WHEN {c} THEN {_q(n)}" for c, n in sanitize.NAMES.items()) + " ELSE printf('U+%04X', ord(raw)) END"
+_KIND = "CASE " + " ".join(f"WHEN ord(raw) BETWEEN {a} AND {b} THEN {_q(c)}" for a, b, c in sanitize.CATEGORIES) + " WHEN regexp_matches(raw, '\\p{Cf}') THEN 'format' ELSE 'control' END"
+
+
+@query(f"WITH {_P}, {_find('p', [('', _INVISIBLE)], False)} SELECT doc_id, CAST(ord(raw) AS INTEGER) AS codepoint, {_NAMED} AS name, pos AS \"offset\", {_KIND} AS category FROM f")
 def invisible_report(spark, sf_dir):
-    return planted(spark, sf_dir).select("doc_id", F.explode(sanitize.report_invisibles("text")).alias("r")).select("doc_id", "r.codepoint", "r.offset")
+    return planted(spark, sf_dir).select("doc_id", F.explode(sanitize.report_invisibles("text")).alias("r")).select("doc_id", "r.codepoint", "r.name", "r.offset", "r.category")
 
 
 @query(
@@ -381,23 +388,18 @@ def detect_with_outliers(spark, sf_dir):
 # ROUGE
 
 
-def _sides(spark, sf_dir):
-    s = text.sentences("text")
-    return docs_of(spark, sf_dir).select("doc_id", F.slice(s, 1, 3).alias("system"), F.slice(s, 2, 5).alias("reference"))
-
-
 def _whole_sides(spark, sf_dir):
     """The first three sentences against all of the document's."""
     s = text.sentences("text")
     return docs_of(spark, sf_dir).select("doc_id", F.slice(s, 1, 3).alias("system"), s.alias("reference"))
 
 
-def _rouge_sql(n: int, reference: tuple[int, int] = (1, 5)) -> str:
+def _rouge_sql(n: int) -> str:
     words = lambda a, b: f"(SELECT doc_id, sent_idx, word_idx, word FROM w WHERE sent_idx BETWEEN {a} AND {b})"
     seq = lambda a, b: f"(SELECT doc_id, list(word ORDER BY sent_idx, word_idx) AS ws FROM {words(a, b)} GROUP BY doc_id)"
     grams = lambda t: f"(SELECT doc_id, gram, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS gram FROM {t}) GROUP BY ALL)"
     return (
-        f"WITH {_S}, {_W}, a AS {seq(0, 2)}, b AS {seq(*reference)}, ga AS {grams('a')}, gb AS {grams('b')}, "
+        f"WITH {_S}, {_W}, a AS {seq(0, 2)}, b AS {seq(0, 2**31 - 1)}, ga AS {grams('a')}, gb AS {grams('b')}, "
         "h AS (SELECT doc_id, sum(least(ga.c, gb.c)) AS hits FROM ga JOIN gb USING (doc_id, gram) GROUP BY doc_id), "
         f"c AS (SELECT doc_id, coalesce(hits, 0) AS h, greatest(coalesce(len(a.ws), 0) - {n - 1}, 0) AS na, greatest(coalesce(len(b.ws), 0) - {n - 1}, 0) AS nb FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN h USING (doc_id)), "
         "x AS (SELECT doc_id, CASE WHEN na > 0 AND nb > 0 THEN h / na ELSE 0 END AS p, CASE WHEN na > 0 AND nb > 0 THEN h / nb ELSE 0 END AS r FROM c) "
@@ -411,21 +413,11 @@ def _rouge(sides, n):
 
 
 @query(_rouge_sql(1))
-def rouge1(spark, sf_dir):
-    return _rouge(_sides(spark, sf_dir), 1)
-
-
-@query(_rouge_sql(2))
-def rouge2(spark, sf_dir):
-    return _rouge(_sides(spark, sf_dir), 2)
-
-
-@query(_rouge_sql(1, (0, 2**31 - 1)))
 def rouge1_whole(spark, sf_dir):
     return _rouge(_whole_sides(spark, sf_dir), 1)
 
 
-@query(_rouge_sql(2, (0, 2**31 - 1)))
+@query(_rouge_sql(2))
 def rouge2_whole(spark, sf_dir):
     return _rouge(_whole_sides(spark, sf_dir), 2)
 
@@ -437,7 +429,7 @@ def rouge_l(spark, sf_dir):
 
 
 def _paired_sql() -> str:
-    sql = _rouge_sql(1, (0, 2**31 - 1)).replace("sent_idx BETWEEN 0 AND 2)", "true)", 1)
+    sql = _rouge_sql(1).replace("sent_idx BETWEEN 0 AND 2)", "true)", 1)
     return sql.replace(", ga AS", ", b1 AS (SELECT doc_id - 1 AS doc_id, ws FROM b), ga AS", 1).replace("FROM b) GROUP BY ALL)", "FROM b1) GROUP BY ALL)", 1).replace("LEFT JOIN b USING", "LEFT JOIN b1 AS b USING", 1).replace("FROM documents LEFT JOIN a", "FROM (SELECT doc_id FROM documents SEMI JOIN (SELECT doc_id - 1 AS doc_id FROM documents) USING (doc_id)) LEFT JOIN a", 1)
 
 
@@ -553,9 +545,15 @@ def usage_daily_table(spark, sf_dir):
     return usage.daily_table(usage.daily(usage_of(spark, sf_dir)))
 
 
-@query()
+_NUMBER = "CASE WHEN percent = floor(percent) THEN CAST(CAST(percent AS BIGINT) AS VARCHAR) ELSE CAST(percent AS VARCHAR) END"
+
+
+@query(
+    f"WITH {_USAGE}, t AS (SELECT left(ts, 10) AS date, {_SUMS} FROM u GROUP BY 1), r AS (SELECT date, '  {{' || chr(10) || '    \"date\": \"' || date || '\",' || chr(10) || '    \"count\": ' || count || ',' || chr(10) || '    \"in\": ' || \"in\" || ',' || chr(10) "
+    f"|| '    \"out\": ' || \"out\" || ',' || chr(10) || '    \"saved\": ' || saved || ',' || chr(10) || '    \"percent\": ' || {_NUMBER} || chr(10) || '  }}' AS b FROM t) SELECT '[' || chr(10) || string_agg(b, ',' || chr(10) ORDER BY date) || chr(10) || ']' || chr(10) AS text FROM r"
+)
 def usage_json(spark, sf_dir):
-    return usage.as_json(usage.daily(usage_of(spark, sf_dir)), many=True)
+    return usage.as_json(usage.daily(usage_of(spark, sf_dir)).withColumn("percent", F.round("percent", 6)), many=True)
 
 
 @query(f"WITH {_S} SELECT doc_id, array_to_string(ss, chr(10)) AS plain, '<!-- loomtext | algorithm: lead | sentences: ' || len(ss) || ' | compression: 95% -->' || chr(10) || array_to_string(list_transform(ss, lambda x: '> ' || x || chr(10)), '>' || chr(10)) AS markdown FROM s0")
