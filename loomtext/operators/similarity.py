@@ -31,9 +31,9 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def idf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, term, df, n_sentences, idf."""
-    w = docs.select(F.col(id_col), sentence_words(sentences(text_col)).alias("w")).select(id_col, F.size("w").alias("n_sentences"), F.explode("w").alias("w"))
-    w = w.select(id_col, "n_sentences", F.explode(F.array_distinct("w")).alias("term"))
-    df = w.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("df"), F.first("n_sentences").alias("n_sentences"))  # one aggregation, begun in the task
+    w = docs.select(F.col(id_col), sentence_words(sentences(text_col)).alias("w"))
+    w = w.select(id_col, F.size("w").alias("n_sentences"), F.explode(F.flatten(F.transform("w", F.array_distinct))).alias("term"))
+    df = w.groupBy(id_col, "term", "n_sentences").agg(F.count(F.lit(1)).alias("df"))  # one aggregation, begun in the task
     return df.withColumn("idf", F.log(F.col("n_sentences") / F.col("df")))
 
 
