@@ -10,7 +10,8 @@ symbols of the context, so every node down from depth three is in the same parti
 the counts of strings of three symbols, at most 258^3 whatever the corpus (some hundred thousand in text). A partition comes sorted by these three
 symbols and is worked on in stretches of whole subtrees of about STRETCH strings, so a task holds no more than that or one subtree. It
 writes the log probability of each string, those that only unseen documents hold included. Texts are then scored by looking
-their strings up (see lexicon: the commonest, at most GRAMS, from a broadcast hash table of 64 MB at most; all others by a join).
+their strings up (see lexicon: the commonest, at most GRAMS, from a broadcast hash table of 24 bytes each at most; all others by a join).
+Python workers live on from stage to stage, so what a step leaves free goes back to the system, and no step holds a whole batch in Python.
 
 Defined cases: a null text has no words, so only its end is scored; a null id counts as an empty one for the split; equal rows
 are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -18,10 +19,13 @@ are rows of their own; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +43,8 @@ GRAMS = 2_000_000
 #: Positions worked on at once.
 CHUNK = 1_000_000
 HELD = 300_000
+#: Counts given out at once.
+ROWS = 100_000
 #: Strings of the trie worked on at once, about.
 STRETCH = 200_000
 
@@ -81,16 +87,23 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def chunks(batches, *columns):
-    """Lists of the columns' values, cut so that the text (column 0) of each has about CHUNK characters."""
+    """Lists of the columns' values, cut so that the text (the first column) of each has about CHUNK characters."""
     for b in batches:
-        values, start, size = [b.column(c).to_pylist() for c in columns], 0, 0
-        for k, t in enumerate(values[0]):
-            size += len(t or "")
-            if size >= CHUNK or k == len(values[0]) - 1:
-                yield [v[start : k + 1] for v in values]
+        sizes, start, size = pc.fill_null(pc.utf8_length(b.column(columns[0])), 0).to_pylist(), 0, 0
+        for k, n in enumerate(sizes):
+            size += n
+            if size >= CHUNK or k == len(sizes) - 1:
+                yield [b.column(c).slice(start, k + 1 - start).to_pylist() for c in columns]
                 start, size = k + 1, 0
 
 
+def trim() -> None:
+    """Give free memory back to the system, where the C library can."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def count_grams(batches):
     """(text, train) -> gram, n_train, n_other: once for each distinct gram, as long as they fit."""
     keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -103,15 +116,17 @@ def count_grams(batches):
         k, n = np.unique(np.concatenate(found), return_counts=True)
         keys, sums = merged(np.concatenate([keys, k]), np.concatenate([sums, n]))
         if len(keys) > 2_000_000:
-            yield split_counts(keys, sums)
-            keys, sums = keys[:0], sums[:0]
-    if len(keys):
-        yield split_counts(keys, sums)
+            yield from split_counts(keys, sums)
+            keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    yield from split_counts(keys, sums)
+    del keys, sums
+    trim()
 
 
 def split_counts(keys, sums):
-    t = keys & 1
-    return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(sums * t), pa.array(sums * (1 - t))], names=["gram", "n_train", "n_other"])
+    for low in range(0, len(keys), ROWS):
+        k, n = keys[low : low + ROWS], sums[low : low + ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array(n * (k & 1)), pa.array(n * (1 - (k & 1)))], names=["gram", "n_train", "n_other"])
 
 
 def locate(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,40 +201,33 @@ def log_probabilities(gram: np.ndarray, n_train: np.ndarray, top: Top) -> np.nda
 
 
 class Table:
-    """An open-addressing hash table of int64 keys, looked up by whole arrays."""
+    """A hash table of distinct int64 keys from 0, looked up by whole arrays: keys and values by bucket, and where each bucket starts."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
-        at, left = self.home(keys), np.arange(len(keys))
-        while len(left):
-            spot = at[left]
-            free = self.keys[spot] == -1
-            self.keys[spot[free]] = keys[left[free]]
-            won = self.keys[spot] == keys[left]
-            self.values[spot[won]] = values[left[won]]
-            left = left[~won]
-            at[left] = at[left] + 1 & (1 << self.bits) - 1
+        self.bits = max(4, int(len(keys)).bit_length())
+        home = self.home(keys)
+        self.start = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(home, minlength=1 << self.bits), out=self.start[1:])
+        order = np.argsort(home, kind="stable")
+        self.keys, self.values = np.append(keys[order], np.int64(-1)), np.append(values[order], 0.0)  # the last: of no key
 
     def home(self, keys):
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where missing), and where they are missing."""
-        at = self.home(keys)
-        found = self.keys[at]
+        home = self.home(keys)
+        at, end = self.start[home], self.start[home + 1]
+        at[at == end] = len(self.keys) - 1
+        lost = self.keys[at] != keys
+        left = np.flatnonzero(lost & (at + 1 < end))
+        while len(left):  # on in the bucket
+            at[left] += 1
+            hit = self.keys[at[left]] == keys[left]
+            lost[left[hit]] = False
+            left = left[~hit]
+            left = left[at[left] + 1 < end[left]]
         out = self.values[at]
-        lost = found == -1
-        left = np.flatnonzero((found != keys) & ~lost)
-        at = at[left]
-        while len(left):
-            at = at + 1 & (1 << self.bits) - 1
-            found = self.keys[at]
-            hit, none = found == keys[left], found == -1
-            out[left[hit]] = self.values[at[hit]]
-            lost[left[none]] = True
-            more = ~(hit | none)
-            left, at = left[more], at[more]
         out[lost] = 0
         return out, lost
 
@@ -269,6 +277,8 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 size = len(t) - cut
         if size:
             yield estimated(pa.Table.from_batches(held))
+        held.clear()
+        trim()
 
     def estimated(t: pa.Table) -> pa.RecordBatch:
         g, n, o = (t.column(c).to_numpy() for c in ("gram", "n_train", "n_other"))
@@ -285,13 +295,14 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     def look_up(batches):
         get, lookup = known_words.value.get, known_grams.value
         end = base(ends)
-        for ids, texts, train in ((b.column(0), b.column(1), b.column(2)) for b in batches):
-            part = pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)))], names=["t", "k"])
-            n_tokens, n_known, base_sum, logp = (np.zeros(len(texts), d) for d in (np.int64, np.int64, np.float64, np.float64))
-            rare_words, rare_grams = [], []
-            for some, at in chunks([part], 0, 1):
-                joined = []
-                for t, k in zip(some, at, strict=True):
+        for b in batches:
+            low = 0
+            for (some,) in chunks([b], 1):
+                ids, train = b.column(0).slice(low, len(some)), b.column(2).slice(low, len(some))
+                low += len(some)
+                n_tokens, n_known, base_sum = (np.zeros(len(some), d) for d in (np.int64, np.int64, np.float64))
+                joined, rare_words = [], []
+                for k, t in enumerate(some):
                     w = words(t)
                     joined.append(b" ".join(w))
                     got = list(map(get, w))
@@ -306,18 +317,15 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 g = grams(symbols(joined))
                 own = np.repeat(np.arange(len(joined)), [len(x) + 1 for x in joined])
                 value, lost = lookup.get(g)
-                logp[at[0] : at[-1] + 1] = np.bincount(own, weights=value, minlength=len(joined))
-                if lost.any():
-                    by: list = [Counter() for _ in joined]
-                    for k, x in zip(own[lost].tolist(), g[lost].tolist(), strict=True):
-                        by[k][x] += 1
-                    rare_grams += [[{"key": x, "n": n} for x, n in c.items()] for c in by]
-                else:
-                    rare_grams += [[] for _ in joined]
-            yield pa.RecordBatch.from_arrays(
-                [ids, train, pa.array(n_tokens), pa.array(n_known), pa.array(base_sum), pa.array(logp), pa.array(rare_words, pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())]))), pa.array(rare_grams, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))],
-                names=["id", "train", "n_tokens", "n_known", "base", "logp", "rare_words", "rare_grams"],
-            )
+                logp = np.bincount(own, weights=value, minlength=len(joined))
+                by: list = [Counter() for _ in joined]
+                for k, x in zip(own[lost].tolist(), g[lost].tolist(), strict=True):
+                    by[k][x] += 1
+                rare_grams = [[{"key": x, "n": n} for x, n in c.items()] for c in by]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, train, pa.array(n_tokens), pa.array(n_known), pa.array(base_sum), pa.array(logp), pa.array(rare_words, pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())]))), pa.array(rare_grams, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))],
+                    names=["id", "train", "n_tokens", "n_known", "base", "logp", "rare_words", "rare_grams"],
+                )
 
     schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("train boolean, n_tokens long, n_known long, base double, logp double, rare_words array<struct<key:binary,n:long>>, rare_grams array<struct<key:long,n:long>>").fields])
     found = durable(rows.mapInArrow(look_up, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")

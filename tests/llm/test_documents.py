@@ -436,6 +436,30 @@ def test_lm(spark, monkeypatch, make, small):
         assert math.isclose(f.base_score, sum(base(c[x]) for x in w) + base(len(train)), rel_tol=1e-9) and math.isclose(f.score, log(r.text), rel_tol=1e-5, abs_tol=1e-4)
 
 
+def test_lm_table():
+    """Every key and no other; 24 bytes a key at most, where half of an open table is empty."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 3000, 200_000):
+        keys = rng.permutation(np.unique(rng.integers(0, 1 << 54, n)))
+        others = np.setdiff1d(rng.integers(0, 1 << 54, 5000), keys)
+        t = ppm.Table(keys, -1.0 - np.arange(len(keys)))
+        value, lost = t.get(np.concatenate([keys, others]))
+        assert (value[: len(keys)] == -1.0 - np.arange(len(keys))).all() and not value[len(keys) :].any()
+        assert not lost[: len(keys)].any() and lost[len(keys) :].all()
+        assert sum(x.nbytes for x in vars(t).values() if isinstance(x, np.ndarray)) <= 24 * n + 200
+
+
+def test_lm_counts_in_small_batches(monkeypatch):
+    """Counts are given out in pieces, none twice and none lost."""
+    texts = [f"{i} some words {i * i}" for i in range(300)] + [None, ""]
+    batch = ppm.pa.RecordBatch.from_arrays([ppm.pa.array(texts), ppm.pa.array([i % 3 > 0 for i in range(len(texts))])], names=["text", "train"])
+    whole = list(ppm.count_grams([batch]))
+    monkeypatch.setattr(ppm, "ROWS", 50)
+    monkeypatch.setattr(ppm, "CHUNK", 100)
+    parts = list(ppm.count_grams([batch]))
+    assert max(map(len, parts)) == 50 and ppm.pa.Table.from_batches(parts).equals(ppm.pa.Table.from_batches(whole).combine_chunks())
+
+
 def test_lm_sums_to_one():
     """Over all symbols that can follow a context, seen or not."""
     texts = [b"abracadabra", b"abc abc", b"banana"]
